@@ -9,7 +9,11 @@ from ..functions.urls import address_key, guid_key
 from .components import connected_groups
 from .encoding import garbled_fields
 from .history_dedup import settle_batches
+from .knn import nearest_neighbours, usable_vectors
+from .leakage import LeakIndex
+from .mixing import Mixture
 from .oracle import ORACLE  # noqa: F401
+from .reading_level import reading_levels
 from .set_join import SimilarSets
 
 
@@ -60,4 +64,67 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d).select(F.col("key").alias("article_id"), "field", "restored", "n_spans", "n_lost")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored}
+#: Scope of problem 7 -> (table, id, vector, k).
+VECTOR_TABLES = {"article": ("article_embeddings", "article_id", "embedding_vector", 5), "cluster": ("story_clusters", "cluster_id", "centroid_embedding_vector", 3)}
+
+
+def _neighbours(spark: SparkSession, d: str, scope: str) -> DataFrame:
+    table, key, vector, k = VECTOR_TABLES[scope]
+    return nearest_neighbours(usable_vectors(_read(spark, d, table), key, vector, 64), k)[0].withColumn("scope", F.lit(scope))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of which either is among the k most similar of the other."""
+    both = _neighbours(spark, d, "article").unionByName(_neighbours(spark, d, "cluster"))
+    return both.select("scope", F.least("q", "id").alias("id_a"), F.greatest("q", "id").alias("id_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The k most similar other vectors of every article vector, with their cosine."""
+    return _neighbours(spark, d, "article").select(F.col("q").alias("article_id"), F.col("id").alias("neighbour_id"), F.col("sim").alias("similarity"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = _read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "eval_items").select("item_id", "text")
+    return LeakIndex(docs, items).matches()
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain at least 12 consecutive words of a test item, with the item."""
+    return _leaks(spark, d).filter("kind = 'exact'").select("doc_id", "item_id")
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Exact and proximity matches with the longest run and the number of agreeing words."""
+    return _leaks(spark, d)
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return Mixture(_read(spark, d, "documents").select("doc_id", "source", "text"), _read(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of every document of the listed sources in the mixture."""
+    return _mixture(spark, d).copies()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Token shares wanted and reached by source."""
+    return _mixture(spark, d).shares()
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(_read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every prose document with its band of reading level."""
+    return _levels(spark, d).select("doc_id", "band").distinct()
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every prose document with its level on the scale of grades."""
+    return _levels(spark, d)
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_matches": p8_matches, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
