@@ -5,7 +5,7 @@ design by its size t (tokens over the source's mean), with the rates closest to
 the source's token target. The dual is convex with one unknown per source; Newton steps use sums over
 the size histogram of each source (documents of one source and size have one rate), aggregated by
 Spark each round, so only one row per listed source reaches the driver. Rates are rounded to whole copies by
-systematic sampling within salted cells of a source, which keeps every cell's copies within one of their
+systematic sampling within salted cells of about ``cell_docs`` documents of a source, which keeps every cell's copies within one of their
 expected number.
 
 A source whose capped supply falls short of its target gives every document ``max_repeats`` times; its missing share is
@@ -92,8 +92,8 @@ def _solve(histogram: DataFrame, goals: dict[str, tuple[float, int]], means: dic
 class Mixture:
     """Token counts of the listed sources, the balanced rates and the copies drawn from them."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = TOKENIZER, cells: int = 64):
-        self.spark, self.doc_id, self.cells = docs.sparkSession, doc_id, cells
+    def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = TOKENIZER, cell_docs: int = 50_000):
+        self.spark, self.doc_id, self.cell_docs = docs.sparkSession, doc_id, cell_docs
         listed = targets.filter("source is not null and target_share is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
         self.targets = listed.collect()  # one row per listed source
         names = self.spark.createDataFrame([(r["source"],) for r in self.targets], "_listed string")
@@ -127,11 +127,11 @@ class Mixture:
 
     def copies(self) -> DataFrame:
         """(doc_id, source, n_tokens, rate, copies) of every document of a listed source, also those without a copy."""
-        table = self.spark.createDataFrame([(s, lam if math.isfinite(lam) else math.copysign(1e6, lam), mean, float(cap)) for s, (lam, mean, cap) in self.rates.items()], "source string, lam double, mean double, cap double")
+        table = self.spark.createDataFrame([(s, lam if math.isfinite(lam) else math.copysign(1e6, lam), mean, float(cap), -(-self.supply[s][0] // self.cell_docs)) for s, (lam, mean, cap) in self.rates.items()], "source string, lam double, mean double, cap double, cells long")
         rows = self.sized.join(F.broadcast(table), "source", "left")
         tilt = F.col("lam") * F.col("n_tokens") / F.col("mean")
         rate = F.when((F.col("n_tokens") > 0) & F.col("cap").isNotNull(), F.when(tilt >= F.log("cap"), F.col("cap")).otherwise(F.exp(tilt))).otherwise(0.0)
-        rows = rows.select(self.doc_id, "source", "n_tokens", rate.alias("rate"), F.pmod(F.xxhash64(self.doc_id), F.lit(self.cells)).alias("cell"))
+        rows = rows.select(self.doc_id, "source", "n_tokens", rate.alias("rate"), F.pmod(F.xxhash64(self.doc_id), F.coalesce("cells", F.lit(1))).alias("cell"))
         # systematic rounding of token mass within a cell: sizes in order, so that neighbours replace one another
         order = Window.partitionBy("source", "cell").orderBy("n_tokens", F.xxhash64(self.doc_id, F.lit(5)), self.doc_id)
         start = F.pmod(F.xxhash64("source", "cell"), F.lit(1_000_003)) / F.lit(1_000_003.0)
