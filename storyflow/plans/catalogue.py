@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import events
+from . import events, read_models
 
-_MODULES = (events,)
+_MODULES = (events, read_models)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in _MODULES for name, q in getattr(m, "ORACLE", {}).items()}
