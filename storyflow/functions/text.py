@@ -60,21 +60,49 @@ def token_estimate(c: Column) -> Column:
     return F.ceil(F.length(F.coalesce(c, F.lit(""))) / F.lit(3.6))
 
 
-#: Shapes of secrets that must not reach a log.
+#: Shapes of secrets that must not reach a log; what group 1 (and 2) holds stays.
 SECRET_PATTERNS = (
     r"(?i)(bearer\s+)[a-z0-9._~+/=-]{8,}",
-    r"(?i)((?:api[_-]?key|token|secret|password|passwd|authorization)[\"']?\s*[:=]\s*[\"']?)[^\s\"',;&]{4,}",
+    r"(?i)((?:api[_-]?key|token|secret|password|passwd|authorization)[\"']?\s*[:=]\s*[\"']?)[^\s\"',;&\[]{4,}",
     r"(\bsk-)[A-Za-z0-9_-]{8,}",
     r"(\bghp_)[A-Za-z0-9]{16,}",
     r"(\bxox[abprs]-)[A-Za-z0-9-]{8,}",
     r"(\bAIza)[A-Za-z0-9_-]{16,}",
     r"(\bAKIA)[A-Z0-9]{12,}",
-    r"(://[^/\s:@]+:)[^@\s/]+(?=@)",
+    r"(://[^/\s:@]+:)[^@\s/]+@",
 )
 
 
 def redact_secrets(c: Column) -> Column:
     """Secrets are replaced by a marker; the label before them stays."""
     for p in SECRET_PATTERNS:
-        c = F.regexp_replace(c, p, "$1[REDACTED]")
+        c = F.regexp_replace(c, p, "$1[REDACTED]" + ("@" if p.endswith("@") else ""))
     return c
+
+
+def retry_seconds(c: Column) -> Column:
+    """Seconds to wait from ``retry-after: 30``, ``1h2m3s``, ``750ms``; null where none is named."""
+    after = F.regexp_extract(F.lower(c), r"retry[- ]after[\"']?\s*[:=]?\s*(\d+(?:\.\d+)?)(?:\s*s(?:ec(?:ond)?s?)?)?(?:\b|$)", 1).try_cast("double")
+    units = F.map_from_arrays(F.array(*map(F.lit, ("h", "m", "s", "ms"))), F.array(*map(F.lit, (3600.0, 60.0, 1.0, 0.001))))
+    span = F.regexp_extract(F.lower(c), r"\b((?:\d+(?:\.\d+)?(?:ms|h|m|s))+)\b", 1)
+    numbers = F.regexp_extract_all(span, F.lit(r"(\d+(?:\.\d+)?)(?:ms|h|m|s)"), F.lit(1))
+    names = F.regexp_extract_all(span, F.lit(r"\d+(?:\.\d+)?(ms|h|m|s)"), F.lit(1))
+    total = F.aggregate(F.zip_with(numbers, names, lambda n, u: n.try_cast("double") * F.try_element_at(units, u)), F.lit(0.0), lambda a, x: a + x)
+    return F.when(span != "", total).otherwise(after)
+
+
+def mentions(c: Column, term: str) -> Column:
+    """Lower-case text mentions a term; short terms of plain letters and digits must stand alone."""
+    if len(term) <= 4 and term.isascii() and term.isalnum():
+        return c.rlike(f"(^|[^a-z0-9]){term}([^a-z0-9]|$)")
+    return F.contains(c, F.lit(term))
+
+
+# Words too common to tell stories apart.
+STOPWORDS = ("about", "after", "again", "amid", "before", "from", "have", "into", "more", "over", "says", "that", "their", "there", "they", "this", "under", "were", "what", "when", "with", "will")
+
+
+def story_tokens(c: Column, most: int = 80) -> Column:
+    """Distinct tokens of at least four characters that are no stop words, the first ``most`` of them."""
+    parts = F.filter(F.split(F.lower(c), "[^a-z0-9+.-]+"), lambda t: (F.length(t) >= 4) & ~t.isin(*STOPWORDS))
+    return F.slice(F.array_distinct(parts), 1, most)

@@ -16,10 +16,55 @@ def url_host(c: Column) -> Column:
 
 
 def story_url(c: Column) -> Column:
-    """A story address without fragment, tracking parameters and one closing slash, in lower case."""
+    """A story address in lower case without fragment, tracking parameters and one closing slash; parameters keep their order."""
     u = F.regexp_replace(F.lower(F.trim(c)), "#.*$", "")
-    u = F.regexp_replace(u, r"(?<=[?&])(?:utm_[^=&]*|fbclid|gclid|mc_cid|mc_eid)(?:=[^&]*)?(?:&|$)", "")
-    return F.regexp_replace(F.regexp_replace(u, "[?&]$", ""), "/$", "")
+    base = F.regexp_replace(F.substring_index(u, "?", 1), "/$", "")
+    params = F.array_join(F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(TRACKING_PARAM)), "&")
+    return F.concat(base, F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))
+
+
+#: IPv4 ranges that are not public, as (network, prefix length).
+PRIVATE_V4 = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4))
+
+
+def ip_number(c: Column) -> Column:
+    """A dotted IPv4 address as a number, else null."""
+    parts = F.split(c, r"\.")
+    n = F.aggregate(F.transform(parts, lambda x: x.try_cast("long")), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    return F.when(c.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"), n)
+
+
+def is_private_ip(c: Column) -> Column:
+    """True for an IPv4 or IPv6 address that no public server has."""
+    n = ip_number(c)
+    v4 = F.lit(False)
+    for net, bits in PRIVATE_V4:
+        start = 0
+        for octet in net.split("."):
+            start = start * 256 + int(octet)
+        v4 |= n.between(start, start + (1 << (32 - bits)) - 1)
+    low = F.lower(c)
+    mapped = F.regexp_extract(low, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    inner = ip_number(mapped)
+    m4 = F.lit(False)
+    for net, bits in PRIVATE_V4:
+        start = 0
+        for octet in net.split("."):
+            start = start * 256 + int(octet)
+        m4 |= inner.between(start, start + (1 << (32 - bits)) - 1)
+    v6 = low.isin("::", "::1") | low.rlike(r"^f[cd]|^fe[89ab]|^ff") & F.contains(low, F.lit(":")) | low.rlike(r"^2001:db8:")
+    return F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False)) | F.coalesce(m4, F.lit(False))
+
+
+def url_safety(c: Column, allow_http: bool = False) -> Column:
+    """``ok`` or why an address may not be fetched: no_url, scheme, credentials, host."""
+    scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    authority = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    host = F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@", "")), r"(?<=[^:]):\d*$", "")
+    host = F.regexp_replace(F.regexp_replace(host, r"^\[|\](?::\d*)?$", ""), r"\.$", "")
+    bad_host = (host == "") | host.isin("localhost") | host.rlike(r"\.(localhost|local|internal|lan|home|corp)$") | is_private_ip(host) | ~(F.contains(host, F.lit(".")) | F.contains(host, F.lit(":")))
+    good_scheme = scheme.isin("https", "http") if allow_http else scheme == "https"
+    return F.when(F.coalesce(scheme, F.lit("")) == "", "no_url").when(~good_scheme, "scheme").when(F.contains(authority, F.lit("@")), "credentials").when(bad_host, "host").otherwise("ok")
 
 
 def _decode(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import events, read_models
+from . import events, read_models, text_rules
 
-_MODULES = (events, read_models)
+_MODULES = (events, read_models, text_rules)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in _MODULES for name, q in getattr(m, "ORACLE", {}).items()}
