@@ -9,7 +9,7 @@ frequencies of words in all records. Every set is indexed by all segments and de
 probes its own band and the one below, where partners of down to ``threshold`` times its size lie.
 
 Keys travel as packed blobs, one per task and target bucket, which spares a row header per key. Each
-carries a 48-bit parity sketch of its set: its distance to another sketch never exceeds the true one, so
+carries a 64-bit parity sketch of its set: its distance to another sketch never exceeds the true one, so
 candidates are discarded without loss before anything else is shuffled. What is left is verified on the
 sets themselves. Equal sets are one class throughout. Keys whose expected list is long are salted: their
 index entries go to every salt, each probe to one, so no task has to hold a hot list alone.
@@ -77,7 +77,7 @@ class _Batch:
         at = np.searchsorted(common, self.flat.view(np.int64)).clip(0, len(common) - 1) if len(common) else np.zeros(len(self.flat), dtype=np.int64)
         self.odds = np.where(common[at] == self.flat.view(np.int64), log_odds[at], rare) if len(common) else np.full(len(self.flat), rare)
         self.mixed = _mix(self.flat)
-        bits = np.uint64(1) << (self.mixed % np.uint64(48))
+        bits = np.uint64(1) << (self.mixed % np.uint64(64))
         self.sketch = np.bitwise_xor.reduceat(bits, np.concatenate([[0], np.cumsum(self.sizes)[:-1]])) if len(ids) else np.array([], dtype=np.uint64)
         self.log_n = math.log(max(n_sets, 2))
 
@@ -197,11 +197,13 @@ class SimilarSets:
 
     def __init__(self, rows: DataFrame, id_col: str, fields: list[str], threshold: str = "0.7"):
         self.spark, self.threshold = rows.sparkSession, Fraction(threshold)
-        sets = materialize(word_sets(rows, id_col, fields), "sets")
+        sets = word_sets(rows, id_col, fields)
+        own = materialize(sets.select("id", "set_hash").distinct(), "set-hashes")
         #: (set_hash, class_id, n): class_id is the least id of a class
-        self.classes = materialize(sets.groupBy("set_hash").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("n")), "classes")
-        self.members = sets.join(self.classes.select("set_hash", "class_id"), "set_hash").select("class_id", F.col("id").alias("member")).distinct()
-        self.sets = sets.join(self.classes.select(F.col("set_hash"), F.col("class_id").alias("id")), ["set_hash", "id"], "left_semi").dropDuplicates(["id"]).select("id", "toks")
+        self.classes = materialize(own.groupBy("set_hash").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "classes")
+        self.members = own.join(self.classes.select("set_hash", "class_id"), "set_hash").select("class_id", F.col("id").alias("member"))
+        #: (id, toks): one set per class; sets travel once, the ids of copies without them
+        self.sets = materialize(sets.groupBy("set_hash").agg(F.min("id").alias("id"), F.first("toks").alias("toks")).select("id", "toks"), "sets")
 
     def _word_odds(self, n_sets: int) -> tuple[np.ndarray, np.ndarray, float]:
         df = self.sets.select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -213,7 +215,7 @@ class SimilarSets:
     def pairs(self, buckets: int | None = None) -> DataFrame:
         """(a, b): class ids, a < b, of all similar pairs of different sets."""
         threshold = self.threshold
-        self.sets = sets = materialize(self.sets, "distinct-sets")
+        sets = self.sets
         n_sets, n_words = sets.agg(F.count("*"), F.sum(F.size("toks"))).first()
         if not n_sets:
             return self.spark.createDataFrame([], "a long, b long")
@@ -258,8 +260,10 @@ class SimilarSets:
 
         packed = sets.mapInPandas(emit, _BLOB).repartition(n_buckets, "bucket")
         candidates = packed.groupBy("bucket").applyInPandas(find, "a long, b long").distinct()
-        left = sets.select(F.col("id").alias("a"), F.col("toks").alias("ta"))
-        right = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
+        candidates = materialize(candidates, "candidates")
+        asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        needed = materialize(sets.join(asked, "id", "left_semi"), "candidate-sets")
+        left, right = needed.select(F.col("id").alias("a"), F.col("toks").alias("ta")), needed.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb"))
         union = F.size("ta") + F.size("tb") - both
         return candidates.join(left, "a").join(right, "b").filter(both * threshold.denominator >= union * threshold.numerator).select("a", "b")
