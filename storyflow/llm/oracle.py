@@ -1,3 +1,22 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express on whole tables. The others are tested against brute force."""
 
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+ORACLE: dict[str, str] = {
+    "p4_found": """
+WITH w AS (SELECT article_id, list_distinct(regexp_extract_all(lower(title || ' ' || summary), '[\\p{L}\\p{N}]+')) AS ws FROM articles WHERE trim(title) <> '' AND trim(summary) <> ''),
+t AS (SELECT article_id, len(ws) AS n, unnest(ws) AS word FROM w), f AS (SELECT word, COUNT(*) AS df FROM t GROUP BY 1),
+r AS (SELECT article_id, n, word, ROW_NUMBER() OVER (PARTITION BY article_id ORDER BY df, word) AS r FROM t JOIN f USING (word)),
+p AS (SELECT * FROM r WHERE r <= n - CEIL(0.7 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.article_id AS a, b.article_id AS b FROM p a JOIN p b ON a.word = b.word AND a.article_id < b.article_id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9)
+SELECT a AS article_id_a, b AS article_id_b FROM c JOIN w x ON x.article_id = a JOIN w y ON y.article_id = b WHERE 17 * len(list_intersect(x.ws, y.ws)) >= 7 * (len(x.ws) + len(y.ws))""",
+    "p5_found": """
+WITH RECURSIVE l AS (SELECT DISTINCT left_cluster_id AS a, right_cluster_id AS b FROM cross_category_cluster_adjudications WHERE decision = 'same_story' AND left_cluster_id <> right_cluster_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a AS start, a AS v FROM e UNION SELECT r.start, e.b FROM reach r JOIN e ON e.a = r.v)
+SELECT MIN(v) AS group_id, start AS cluster_id FROM reach GROUP BY start""",
+    "p8_found": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+dj AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS j FROM d), ij AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS j FROM i),
+dg AS (SELECT doc_id, array_to_string(w[j:j + 11], ' ') AS g FROM dj), ig AS (SELECT item_id, array_to_string(w[j:j + 11], ' ') AS g FROM ij)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}

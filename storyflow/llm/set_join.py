@@ -63,8 +63,10 @@ _BAND_TOPS = np.array([2] + [3 * 2**k - 1 for k in range(1, 40)])
 
 def segments_of(band: int, threshold: Fraction) -> int:
     """Segments of a band: enough that about a third of the possible allocations can be left out."""
-    need = int(max_difference(2 * int(_BAND_TOPS[band]), threshold)) + 1
-    return max(1, math.ceil(0.72 * need))
+    top = int(_BAND_TOPS[band])
+    own = int(max_difference(2 * top, threshold)) + 1
+    above = int(max_difference(int(top / threshold) + top, threshold)) + 1  # for probes of the band above
+    return max(1, math.ceil(0.72 * own), math.ceil(above / 2))
 
 
 class _Batch:
@@ -182,6 +184,21 @@ def _candidates(blobs: pd.DataFrame, threshold: Fraction, block: int = 2_000_000
             yield pd.DataFrame({"a": np.minimum(ids[p], ids[x]), "b": np.maximum(ids[p], ids[x])}).drop_duplicates()
 
 
+def _gathered(batches: Iterator[pd.DataFrame], words_at_once: int = 1_500_000) -> Iterator[pd.DataFrame]:
+    """Arrow batches joined to a bounded size, so that blobs hold many keys however many buckets there are."""
+    held, n = [], 0
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        held.append(pdf)
+        n += int(pdf.toks.map(len).sum())
+        if n >= words_at_once:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def word_sets(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id, toks, set_hash): sorted distinct hashed words of the joined fields; records with an empty field are left out."""
     good: Column = F.lit(True)
@@ -224,9 +241,7 @@ class SimilarSets:
         n_buckets = buckets or max(self.spark.sparkContext.defaultParallelism * 2, math.ceil(2.2 * n_words / 1_000_000))
 
         def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
+            for pdf in _gathered(batches):
                 b = _Batch(pdf.id.to_numpy(dtype=np.int64), list(pdf.toks), common, odds, rare, n_sets)
                 bands = band_of(b.sizes)
                 parts = []
