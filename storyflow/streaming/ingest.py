@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import clean_text
 from ..operators.snapshots import SnapshotTable
+from ..session import materialize
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
@@ -41,6 +42,7 @@ def run_into(stream: DataFrame, table: SnapshotTable, keys: list[str], order: li
     """Upsert every micro-batch into a keyed table; ``availableNow`` drains what is there and stops."""
 
     def write(batch: DataFrame, _: int) -> None:
+        batch = materialize(batch, "micro-batch")  # a stateful plan must run once per batch
         if not batch.isEmpty():
             table.merge(batch, keys, order)
 
