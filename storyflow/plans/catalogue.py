@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import events, graphs, read_models, relations, streams, text_rules, vectors
+from . import events, graphs, maintenance, read_models, relations, streams, text_rules, vectors
 
-_MODULES = (events, read_models, text_rules, relations, vectors, graphs, streams)
+_MODULES = (events, read_models, text_rules, relations, vectors, maintenance, graphs, streams)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in _MODULES for name, q in getattr(m, "ORACLE", {}).items()}
