@@ -10,10 +10,12 @@ count as prompt; records beyond the cut-off never change a period; an empty log
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import read_text, scratch_path, write_text
 
 HOUR_MS = 3_600_000
 
@@ -36,8 +38,13 @@ class LambdaViews:
     def __init__(self, spark: SparkSession, path: str | None = None, cutoff_h: int = 72, period_ms: int = HOUR_MS):
         self.spark, self.cutoff_ms, self.period_ms = spark, cutoff_h * HOUR_MS, period_ms
         self.path = path or scratch_path(spark, "lambda")
-        self.increments: list[str] = []
-        self.batch: str | None = None
+        kept = json.loads(read_text(spark, f"{self.path}/_manifest") or "{}")
+        self.increments: list[str] = kept.get("increments", [])
+        self.batch: str | None = kept.get("batch")
+
+    def _save(self) -> None:
+        """A later run that names the same path goes on from here."""
+        write_text(self.spark, f"{self.path}/_manifest", json.dumps({"increments": self.increments, "batch": self.batch}))
 
     @staticmethod
     def _measures():
@@ -48,6 +55,7 @@ class LambdaViews:
         part = f"{self.path}/fast-{len(self.increments)}"
         arrived.filter("prompt").groupBy("key", "period").agg(*self._measures()).write.parquet(part)
         self.increments.append(part)
+        self._save()
 
     def recompute(self, log: DataFrame, as_of_ms: int) -> None:
         """Batch layer: replace every open period by its value from the full log, freeze those past the cut-off."""
@@ -62,6 +70,7 @@ class LambdaViews:
         path = scratch_path(self.spark, "lambda-batch")
         new.write.parquet(path)
         self.batch = path
+        self._save()
 
     def _fast(self) -> DataFrame:
         fast = self.spark.read.parquet(*self.increments)

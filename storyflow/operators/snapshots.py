@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import read_text, write_text
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """Union of both, one row per key: the first by ``order`` (null keys form their own group)."""
@@ -30,21 +32,9 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        return jvm, p, p.getFileSystem(conf)
-
     def version(self) -> int:
         """Number of the current version, 0 for none."""
-        _, p, fs = self._pointer()
-        if not fs.exists(p):
-            return 0
-        stream = fs.open(p)
-        try:
-            return int(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return int(read_text(self.spark, f"{self.path}/_current") or 0)
 
     def read(self) -> DataFrame | None:
         v = self.version()
@@ -54,10 +44,7 @@ class SnapshotTable:
         """Write a new version, then move the pointer to it."""
         v = self.version() + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        _, p, fs = self._pointer()
-        out = fs.create(p, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
+        write_text(self.spark, f"{self.path}/_current", str(v))
         return v
 
     def merge(self, new: DataFrame, keys: list[str], order: list[Column | str]) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, cosine, dot, unit, usable
 from ..operators.block_search import block_search
+from ..session import materialize
 from .common import Catalogue, read
 
 C = Catalogue()
@@ -93,13 +94,28 @@ sc AS (SELECT article_id, category_slug, ROUND(list_inner_product(e.u, topic.v)
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY article_id ORDER BY confidence DESC, category_slug) AS rank, LEAD(confidence) OVER (PARTITION BY article_id ORDER BY confidence DESC, category_slug) AS second FROM sc) """
 
 
-def _ranked_topics(spark: SparkSession, d: str) -> DataFrame:
-    """Confidence of every article for every topic (its mean story vector), ranked. Topics are a bounded dimension."""
+#: Topic vectors that are broadcast together: 1,024 of 64 doubles are half a megabyte.
+TOPIC_BLOCK = 1_024
+
+
+def _ranked_topics(spark: SparkSession, d: str, most: int = 4) -> DataFrame:
+    """Confidence of every article for its best topics (a topic is the mean of its story vectors), ranked.
+
+    Topics are packed into rows of at most about TOPIC_BLOCK vectors. With one such row ranking needs no shuffle; with
+    more, each block's best are merged per article.
+    """
     pos = _stories(spark, d).filter("category_slug is not null").select("category_slug", F.posexplode("u").alias("i", "x")).groupBy("category_slug", "i").agg(F.avg("x").alias("x"))
-    topics = pos.groupBy("category_slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    packed = topics.agg(F.collect_list(F.struct("category_slug", "v")).alias("topics"))  # one row, a vector per topic
-    scored = _articles(spark, d).crossJoin(F.broadcast(packed)).select("article_id", F.transform("topics", lambda t: F.struct((-F.round(cosine(F.col("u"), t["v"]), 6)).alias("c"), t["category_slug"].alias("slug"))).alias("s"))
-    return scored.select("article_id", F.array_sort("s").alias("s"))
+    topics = materialize(pos.groupBy("category_slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")), "topics")
+    n_blocks = max(1, -(-topics.count() // TOPIC_BLOCK))
+    score = lambda t: F.struct((-F.round(cosine(F.col("u"), t["v"]), 6)).alias("c"), t["category_slug"].alias("slug"))
+    out = None
+    for b in range(n_blocks):
+        packed = topics.filter(F.pmod(F.xxhash64("category_slug"), F.lit(n_blocks)) == b).agg(F.collect_list(F.struct("category_slug", "v")).alias("topics"))
+        part = _articles(spark, d).crossJoin(F.broadcast(packed)).select("article_id", F.slice(F.array_sort(F.transform("topics", score)), 1, most).alias("s"))
+        out = part if out is None else out.unionByName(part)
+    if n_blocks > 1:
+        out = out.groupBy("article_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("s"))), 1, most).alias("s"))
+    return out
 
 
 @C.add(_TOPICS + "SELECT article_id, category_slug, rank, confidence FROM r WHERE rank <= 3")

@@ -60,11 +60,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no open DataFrame reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
 
 
 def table_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size, used to decide whether a side may be broadcast."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small text file of the shared folder (pointers and manifests)."""
+    p, fs = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of the shared folder, None where there is none."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()

@@ -70,6 +70,7 @@ def test_lambda_views(spark):
     assert [(r.key, r.period) for r in views.corrected().collect()] == [("a", 100)]
     views.recompute(df, 200 * h)
     assert state()[("a", 100)] == (1, 2, True)  # the third came after the cut-off
+    views = LambdaViews(spark, views.path)  # opened again from the shared folder
     # frozen periods don't change, even when the log does
     views.recompute(df.limit(0), 201 * h)
     assert state()[("a", 100)] == (1, 2, True)
