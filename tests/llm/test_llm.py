@@ -102,6 +102,12 @@ def test_store_survives_small_filters_and_partial_coverage(spark):
     edited = [(100 + i, t[:380] + "zzz") for i, t in enumerate(texts)] + [(500, "".join(rng.choices("klmnop", k=300)))]
     got = {(r.first_id, r.id) for r in spark.read.parquet(store.process(spark.createDataFrame(edited, "id long, key string"))).collect()}
     assert got == {(i, 100 + i) for i in range(30)}
+    # opened again, it knows both batches; many small batches are compacted without loss
+    again = HistoryStore(spark, 2, store.path, coverage=1.0)
+    again.COMPACT = 1
+    for n, key in enumerate([texts[3], edited[4][1], "new " * 30]):
+        out = again.process(spark.createDataFrame([(700 + n, key)], "id long, key string"))
+        assert [r.first_id for r in spark.read.parquet(out).collect()] == [[3], [104], []][n]
 
 
 # --- sets -----------------------------------------------------------------------------------------------------------
