@@ -106,3 +106,10 @@ def story_tokens(c: Column, most: int = 80) -> Column:
     """Distinct tokens of at least four characters that are no stop words, the first ``most`` of them."""
     parts = F.filter(F.split(F.lower(c), "[^a-z0-9+.-]+"), lambda t: (F.length(t) >= 4) & ~t.isin(*STOPWORDS))
     return F.slice(F.array_distinct(parts), 1, most)
+
+
+def strong_tokens(title: Column, summary: Column) -> Column:
+    """Distinct acronyms of the title and amounts with a unit of the summary."""
+    acronyms = F.regexp_extract_all(title, F.lit(r"(?:^|[^\p{L}\p{N}])([A-Z][A-Z0-9]{2,})(?:$|[^\p{L}\p{N}])"), F.lit(1))
+    amounts = F.regexp_extract_all(F.lower(summary), F.lit(r"([0-9][0-9.,]*\s*(?:units|sites|stück|sedes|pièces|%|usd|eur))"), F.lit(1))
+    return F.array_distinct(F.concat(acronyms, F.transform(amounts, lambda x: F.regexp_replace(x, r"\s+", ""))))

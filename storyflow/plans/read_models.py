@@ -160,7 +160,7 @@ SELECT cluster_id, category_slug, fair_rank, ROW_NUMBER() OVER (ORDER BY fair_ra
 def fair_interleave(spark: SparkSession, d: str) -> DataFrame:
     """The first 200 turns of fair scheduling: rank within the category first, then recency."""
     own = Window.partitionBy("category_slug").orderBy(F.desc_nulls_last("latest_published_at"), "cluster_id")
-    s = read(spark, d, "story_clusters").select("cluster_id", F.coalesce("category_slug", F.lit("-")).alias("category_slug"), "latest_published_at").withColumn("fair_rank", F.row_number().over(own).cast("long"))
+    s = read(spark, d, "story_clusters").select("cluster_id", F.coalesce("category_slug", F.lit("-")).alias("category_slug"), "latest_published_at").withColumn("fair_rank", F.row_number().over(own).cast("long")).filter("fair_rank <= 200")  # no later rank can be among the first 200 turns
     first = s.orderBy("fair_rank", F.desc_nulls_last("latest_published_at"), "cluster_id").limit(200)
     turn = Window.orderBy("fair_rank", F.desc_nulls_last("latest_published_at"), "cluster_id")  # over the 200 rows left
     return first.select("cluster_id", "category_slug", "fair_rank", F.row_number().over(turn).cast("long").alias("turn"))
