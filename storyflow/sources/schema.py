@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 #: Version of the schemas below; a stored table carries it as a property.
 SCHEMA_VERSION = 1
 
+#: Table -> columns.
 _DDL = {
     "articles": "article_id bigint, guid string, canonical_url string, source_host string, lang string, title string, summary string, content string, author string, published_at string, first_seen_at string, batch_no int, content_hash string",
     "story_clusters": "cluster_id bigint, title string, category_slug string, representative_article_id bigint, embedding_model string, article_count int, first_published_at timestamp_ntz, latest_published_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz, centroid_embedding_vector array<float>",
@@ -17,7 +18,18 @@ _DDL = {
     "cross_category_cluster_adjudications": "adjudication_id bigint, pair_type string, left_category_slug string, right_category_slug string, left_cluster_id bigint, right_cluster_id bigint, target_cluster_id bigint, source_cluster_id bigint, centroid_similarity double, max_article_similarity double, decision string, confidence double, merged boolean, created_at timestamp_ntz",
     "removed_failed_feeds": "feed_id string, name string, url string, validation_status string, frequency_status string, country string, timezone_gmt string",
 }
-SCHEMAS = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def schema(table: str) -> T.StructType:
+    """The declared schema of a table (parsed by the active session)."""
+    return T.StructType.fromDDL(_DDL[table])
+
+
+def conforms(df: DataFrame, table: str) -> list[str]:
+    """Declared columns that ``df`` lacks or has in another type; extra columns are allowed."""
+    have = {f.name: f.dataType for f in df.schema}
+    return [f.name for f in schema(table) if have.get(f.name) != f.dataType]
+
 
 #: Table -> rule name -> condition that a good row meets (null counts as broken).
 RULES = {

@@ -69,3 +69,22 @@ def test_images(spark, tmp_path):
     assert [(r.format, r.width, r.height) for r in got] == [("png", 640, 480)]
     html = '<img src="https://a.example/s.png" width=10 height=10><IMG width="90" src=\'https://a.example/b.png\' height="90"><img src="data:x">'
     assert spark.range(1).select(best_image(F.lit(html)), best_image(F.lit(None).cast("string"))).first()[:] == ("https://a.example/b.png", None)
+
+
+def test_schemas(spark, sf):
+    from storyflow.sources.schema import conforms, rejects, schema
+
+    for table in ("articles", "story_clusters", "cluster_articles", "article_embeddings", "cross_category_cluster_adjudications", "removed_failed_feeds"):
+        assert conforms(spark.read.parquet(f"{sf}/{table}.parquet"), table) == []
+    df = spark.createDataFrame([(1, 1, 0.5, "member", None), (1, None, 2.0, "chief", None), (1, 2, None, None, None)], schema("cluster_articles"))
+    assert sorted(tuple(r.broken_rules) for r in rejects(df, "cluster_articles").collect()) == [("keys", "role", "similarity"), ("role", "similarity")]
+
+
+def test_model_calls(spark):
+    from storyflow.operators.model_calls import cached_results, embedding_text, input_hash
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "id int, text string")
+    cache = df.filter("id = 1").select(input_hash("m", F.col("text")).alias("input_hash"), F.array(F.lit(9.0)).alias("result"))
+    got = {r.id: r.result for r in cached_results(df, "text", cache, "m", lambda texts: [[float(len(t))] for t in texts]).collect()}
+    assert got == {1: [9.0], 2: [1.0], 3: [1.0], 4: [0.0]}
+    assert spark.range(1).select(embedding_text(F.lit("T"), F.lit(" "), F.lit("c" * 900))).first()[0] == "T\n" + "c" * 500
