@@ -231,7 +231,7 @@ def latest_before(spark: SparkSession, d: str) -> DataFrame:
     """As-of: the user's last click strictly before each purchase, by one window over the user's events."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    e = read(spark, d, "events").withColumn("us", us).withColumn("last_click", F.max(F.when(F.col("event_type") == "click", F.col("ts"))).over(w))
+    e = read(spark, d, "events").filter(F.col("event_type").isin("click", "purchase")).withColumn("us", us).withColumn("last_click", F.max(F.when(F.col("event_type") == "click", F.col("ts"))).over(w))
     return e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "last_click")
 
 
