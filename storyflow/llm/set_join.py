@@ -273,7 +273,8 @@ class SimilarSets:
             found = list(_candidates(blobs, threshold))
             return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
-        packed = sets.mapInPandas(emit, _BLOB).repartition(n_buckets, "bucket")
+        # one partition per bucket, by number: hashing the numbers again would put several into one task
+        packed = sets.mapInPandas(emit, _BLOB).repartitionById(n_buckets, F.col("bucket"))
         candidates = packed.groupBy("bucket").applyInPandas(find, "a long, b long").distinct()
         candidates = materialize(candidates, "candidates")
         asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
