@@ -184,7 +184,9 @@ def nearest_neighbours(vectors: DataFrame, k: int, leaf_rows: int = 256, recall:
     sample = points.filter(order <= int(share * 1_000_000_007)).orderBy(order).limit(SAMPLE).select("vec").toPandas()
     tree = Tree(_stack(sample.vec), -(-n_points // leaf_rows))
     # calibration: exact neighbours of some queries over all rows, in blocks
-    probe = points.orderBy(F.xxhash64("id", F.lit(23))).limit(CALIBRATE).select("id", "vec").toPandas()
+    lot = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000_007))
+    some = points.filter(lot <= int(min(1.0, 4 * CALIBRATE / n_points) * 1_000_000_007))  # else every task would send its own
+    probe = some.orderBy(lot, "id").limit(CALIBRATE).select("id", "vec").toPandas()
     p_ids, p = probe.id.to_numpy(), _stack(probe.vec)
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
