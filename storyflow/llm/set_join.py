@@ -223,11 +223,20 @@ class SimilarSets:
         self.sets = materialize(sets.groupBy("set_hash").agg(F.min("id").alias("id"), F.first("toks").alias("toks")).select("id", "toks"), "sets")
 
     def _word_odds(self, n_sets: int) -> tuple[np.ndarray, np.ndarray, float]:
-        df = self.sets.select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-        top = df.orderBy(F.desc("n"), "w").limit(COMMON_WORDS).toPandas().sort_values("w")
+        df = materialize(self.sets.select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+        # the frequency from which there are at most COMMON_WORDS words, found on a histogram of a few hundred
+        # classes: an ordered limit would send that many rows of every task to the driver
+        frequency = F.floor(F.log2("n") * 16).cast("int")
+        classes = sorted(df.groupBy(frequency.alias("c")).agg(F.count("*").alias("k")).collect(), reverse=True)
+        room, least = COMMON_WORDS, None
+        for r in classes:
+            if r["k"] > room:
+                break
+            room, least = room - r["k"], r["c"]
+        top = df.filter(frequency >= least if least is not None else F.lit(False)).toPandas().sort_values("w")
         p = (top.n.to_numpy() / max(n_sets, 1)).clip(1e-12, 0.95)
         odds = np.log(p / (1 - p))
-        return top.w.to_numpy(dtype=np.int64), odds, float(odds.min()) if len(odds) else 0.0
+        return top.w.to_numpy(dtype=np.int64), odds, float(odds.min()) if len(odds) else -math.log(max(n_sets, 2))
 
     def pairs(self, buckets: int | None = None) -> DataFrame:
         """(a, b): class ids, a < b, of all similar pairs of different sets."""
