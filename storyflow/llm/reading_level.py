@@ -11,8 +11,8 @@ both respects, so the second graph is over their combination.
 Documents come as one row each; the word sums of a round combine before the shuffle. The second graph has at most
 ``CELLS`` x ``CELLS`` cells, whatever the number of documents.
 
-Defined results: null, empty and non-prose texts (lists, tables, code: no line that ends as a sentence) have no
-level; grades are the median over distinct (rater, grade) rows of a document; without any grade nothing
+Defined results: null, empty and non-prose texts (lists, tables, code: no complete sentence in any paragraph) have no
+level; lines that break within a sentence are joined; grades are the median over distinct (rater, grade) rows of a document; without any grade nothing
 comes out; copies get equal levels.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -33,10 +33,43 @@ ELEMENTARY_TO, ADVANCED_FROM = 5.5, 11.5
 _SENTENCE_END = r"[.!?…][\"”»“’)]*(?:\s|$)"
 
 
+#: Shapes of lines that are no part of running text: bullets, headings, table rows, assignments and calls.
+_ITEM = r"^\s*(?:[*•·#+|-]|\d{1,3}\))\s|\t|\|\s*$|^\s*[\w.]+\s*=|\w\([^)]*\)\s*[;{]\s*$|[{}]\s*;?\s*$"
+#: All of a paragraph up to its last end mark; a capital with at most one letter after it is an abbreviation.
+_LAST_END = r"^(.*(?:\p{L}{3}|(?<!\p{L})\p{Ll}{1,2}|\p{N})[\"”»“’)]*[.!?…][\"”»“’)]*)\s"
+_ENDS = r"[.!?…][\"”»“’)]*\s*$"
+
+
+def _paragraphs(text: Column) -> Column:
+    """Lines of a text, those that continue a sentence joined to the one before.
+
+    A line continues the one before if that has no end mark, neither is blank or has the shape of an item, and the one
+    before is no headline: the first line of its paragraph, without any mark, before a capital, and so short
+    that the next word would have fitted into it.
+    """
+    lines = F.split(text, r"\r\n|\r|\n")
+    shifted = lambda by: F.slice(F.concat(F.array(*[F.lit("")] * by), lines), F.lit(1), F.size(lines))
+    before = F.zip_with(shifted(1), shifted(2), lambda p, q: F.struct(p.alias("p"), ((F.trim(q) == "") | q.rlike(_ENDS)).alias("first")))
+
+    def marked(b: Column, x: Column) -> Column:
+        p = b["p"]
+        word = F.regexp_extract(x, r"^\s*(\S+)", 1)
+        headline = b["first"] & ~p.rlike(_SENTENCE_END) & ~p.rlike(r"[,;:]\s*$") & x.rlike(r"^\s*[\"“«„‘(]*\p{Lu}") & (F.length(p) + 1 + F.length(word) <= F.length(x))
+        runs_on = (F.trim(p) != "") & (F.trim(x) != "") & ~p.rlike(_ENDS) & ~p.rlike(_ITEM) & ~x.rlike(_ITEM) & ~headline
+        return F.concat(F.when(runs_on, F.lit(" ")).otherwise(F.lit("\n")), x)
+
+    return F.split(F.array_join(F.zip_with(before, lines, marked), ""), "\n")
+
+
 def prose(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, tokens, sentence_length) of documents made of prose; a line counts if it ends as a sentence."""
-    lines = F.filter(F.split(F.col(text), r"[\r\n]+"), lambda x: x.rlike(r"[.!?…][\"”»“’)]*\s*$") & x.rlike(r"\p{L}+[^\S\t]+\p{L}+[^\S\t]+\p{L}+"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("lines")).filter("size(lines) > 0")
+    """(doc_id, tokens, sentence_length) of documents made of prose.
+
+    A paragraph counts as far as its last complete sentence: whole if it ends as one, else up to the last end mark
+    within it, so that an unfinished tail takes no complete sentence with it.
+    """
+    words = r"\p{L}+[^\S\t]+\p{L}+[^\S\t]+\p{L}+"
+    done = F.transform(_paragraphs(F.col(text)), lambda x: F.when(x.rlike(_ENDS), x).when(~x.rlike(_ITEM), F.regexp_extract(x, _LAST_END, 1)).otherwise(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.filter(done, lambda x: x.rlike(words)).alias("lines")).filter("size(lines) > 0")
     rows = rows.withColumn("body", F.array_join("lines", "\n"))
     rows = rows.withColumn("tokens", F.regexp_extract_all(F.lower("body"), F.lit(r"([\p{L}]+)"), F.lit(1))).filter("size(tokens) > 0")
     n = F.size(F.regexp_extract_all("body", F.lit(f"({_SENTENCE_END})"), F.lit(1)))

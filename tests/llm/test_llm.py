@@ -253,3 +253,19 @@ def test_levels(spark):
     got = {r.doc_id: r.band for r in reading_levels(d, lab).collect()}
     assert got == want
     assert reading_levels(d.limit(0), lab).count() == 0 and reading_levels(d, lab.limit(0)).count() == 0
+
+
+def test_wrapped_prose_counts_whole(spark):
+    from storyflow.llm.reading_level import prose
+
+    long = "One two three four five six. Seven eight nine ten eleven twelve. Later, the lamp stands\nnear the house\nat night."
+    docs = [
+        (1, long), (2, long.replace("\n", " ")), (3, "A headline about a lamp\n\n" + long), (4, "Lamp News Today\nThe lamp stands near the old house at night."),
+        (5, "Der alte Mann sieht die\nKatze und den Hund am\nHaus."), (6, "* Red lamp house (3)\n* Old lamp house (4)"), (7, "a b c\t1\nd e f\t2"), (8, "x_0 = f(1);\ny_1 = f(2);"),
+        (9, "The lamp stands near the house. Then it was"), (10, "The lamp stands near the house. The man saw it. Then it was"),
+        (11, "* Red lamp house (3)\nThe lamp stands near the house."), (12, "She said it on\r\nMonday and was fine."),
+    ]
+    got = {r.doc_id: (len(r.tokens), r.sentence_length) for r in prose(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got[1] == got[2] == got[3] == (21, 7.0) and got[4] == (9, 9.0) and got[5] == (11, 11.0)
+    assert not {6, 7, 8} & set(got)
+    assert got[9] == (6, 6.0) and got[10] == (10, 5.0) and got[11] == (6, 6.0) and got[12] == (8, 8.0)
