@@ -83,19 +83,21 @@ def online_clusters(articles: DataFrame, threshold: float = 0.65, k: int = 20, b
     return out
 
 
-def greedy_matching(pairs: list[tuple[int, int, float]], size: dict[int, tuple], most: int = 50) -> list[tuple[int, int, float]]:
+def greedy_matching(pairs: list[tuple[int, int, float]], size: dict[int, tuple], most: int = 50, taken: list[tuple[int, int, float]] = ()) -> list[tuple[int, int, float]]:
     """(target, source, similarity) taken best first: a source is used once and is never a target; targets may be reused.
 
-    ``size`` maps a story to its precedence (more articles, later, smaller id compare as larger).
+    ``size`` maps a story to its precedence (more articles, later, smaller id compare as larger). ``taken`` are the merges of
+    better pairs seen before; they count towards ``most`` and come first in the result.
     """
-    out, sources, targets = [], set(), set()
+    out = list(taken)
+    sources, targets = {s for _, s, _ in out}, {t for t, _, _ in out}
     for a, b, sim in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if len(out) >= most:
+            break
         target, source = (a, b) if size[a] >= size[b] else (b, a)
         if source in sources or source in targets or target in sources:
             continue
         sources.add(source)
         targets.add(target)
         out.append((target, source, sim))
-        if len(out) == most:
-            break
     return out

@@ -9,6 +9,7 @@ from ..functions.text import strong_tokens as tokens_of
 from ..functions.vectors import unit, usable
 from ..operators.block_search import block_search
 from ..operators.clustering import greedy_matching
+from ..session import materialize
 from ..sources.schema import rejects
 from .common import AS_OF, Catalogue, ago, read, ts
 
@@ -69,25 +70,42 @@ def rejected_rows(spark: SparkSession, d: str) -> DataFrame:
     return m.unionByName(x.select(F.col("adjudication_id").alias("article_id"), F.lit(None).cast("bigint").alias("cluster_id"), F.lit("confidence").alias("broken")))
 
 
-#: Pairs the greedy step looks at: a pass merges at most 50 of them.
+#: Pairs the greedy step looks at in one block, and merges of a pass.
 MERGE_CANDIDATES, MERGES = 2_000, 50
 
 
+def planned_merges(pairs: DataFrame, stories: DataFrame, block: int = MERGE_CANDIDATES, most: int = MERGES) -> list[tuple[int, int, float]]:
+    """(target, source, similarity) of the greedy step over all ``pairs`` (a, b, similarity); ``stories`` has cluster_id, n, latest.
+
+    The ranked pairs are read in blocks. Spark drops those that the merges so far rule out; every pair of
+    an earlier block is among them, and the first pair of a block never is, so there are at most ``most`` blocks.
+    """
+    side = lambda c: stories.select(F.col("cluster_id").alias(c), F.struct("n", "latest", (-F.col("cluster_id")).alias("i")).alias(f"rank_{c}"))
+    ranked = pairs.join(side("a"), "a").join(side("b"), "b")
+    first = F.col("rank_a") >= F.col("rank_b")
+    ranked = materialize(ranked.withColumns({"target": F.when(first, F.col("a")).otherwise(F.col("b")), "source": F.when(first, F.col("b")).otherwise(F.col("a"))}), "merge-pairs")
+    plan: list[tuple[int, int, float]] = []
+    while len(plan) < most:
+        targets, sources = [t for t, _, _ in plan], [s for _, s, _ in plan]
+        rows = ranked.filter(~F.col("source").isin(sources + targets) & ~F.col("target").isin(sources)).orderBy(F.desc("similarity"), "a", "b").limit(block).collect()
+        rank = {r[c]: tuple(r[f"rank_{c}"]) for r in rows for c in "ab"}
+        plan = greedy_matching([(r["a"], r["b"], r["similarity"]) for r in rows], rank, most, plan)
+        if len(rows) < block:
+            break
+    return plan
+
+
 @C.add()
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
     """One merge pass for the stated queries: similar stories of one category, best first, a source used once and never a target.
 
-    The candidates are ranked by Spark; the greedy step gets the best MERGE_CANDIDATES and stops after MERGES merges.
+    The candidates are ranked by Spark; the greedy step gets them in blocks of MERGE_CANDIDATES and stops after MERGES merges.
     """
     c = read(spark, d, "story_clusters").filter(usable(F.col("centroid_embedding_vector"), 64))
     s = c.select(F.col("cluster_id").alias("id"), unit(F.col("centroid_embedding_vector")).alias("vec"), F.col("category_slug").alias("grp"))
     found = block_search(s.filter("id % 100 = 0"), s, None, 0.3, "same").select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "similarity").distinct()
-    best = found.orderBy(F.desc("similarity"), "a", "b").limit(MERGE_CANDIDATES)
-    size = c.select("cluster_id", "article_count", F.coalesce(F.col("latest_published_at").cast("string"), F.lit("")).alias("latest"))
-    rows = best.join(size.select(F.col("cluster_id").alias("a"), F.col("article_count").alias("na"), F.col("latest").alias("la")), "a").join(size.select(F.col("cluster_id").alias("b"), F.col("article_count").alias("nb"), F.col("latest").alias("lb")), "b").collect()
-    rank = {r["a"]: (r["na"] or 0, r["la"], -r["a"]) for r in rows} | {r["b"]: (r["nb"] or 0, r["lb"], -r["b"]) for r in rows}
-    plan = greedy_matching([(r["a"], r["b"], r["similarity"]) for r in rows], rank, MERGES)
-    return spark.createDataFrame(plan, "target_id bigint, source_id bigint, similarity double")
+    size = c.select("cluster_id", F.coalesce("article_count", F.lit(0)).alias("n"), F.coalesce(F.col("latest_published_at").cast("string"), F.lit("")).alias("latest"))
+    return spark.createDataFrame(planned_merges(found, size), "target_id bigint, source_id bigint, similarity double")
 
 
 QUERIES, ORACLE = C.queries, C.oracle

@@ -62,6 +62,17 @@ def test_greedy_matching():
     assert greedy_matching(pairs, size, most=1) == [(2, 3, 0.95)]
 
 
+def test_merges_are_found_beyond_the_first_block(spark):
+    from storyflow.plans.rollups import planned_merges
+
+    # a group of equal stories fills the first blocks with pairs that mostly exclude one another
+    pairs = [(a, b, 0.9) for a in range(1, 9) for b in range(a + 1, 9)] + [(20 + 2 * i, 21 + 2 * i, 0.8 - i / 100) for i in range(6)]
+    size = {i: (1, "", -i) for i in range(1, 40)}
+    stories = spark.createDataFrame([(i, 1, "") for i in size], "cluster_id long, n int, latest string")
+    for most in (5, 10, 50):
+        assert planned_merges(spark.createDataFrame(pairs, "a long, b long, similarity double"), stories, 5, most) == greedy_matching(pairs, size, most)
+
+
 def test_attach_properties():
     rng = np.random.default_rng(1)
     vs = [v / np.linalg.norm(v) for v in rng.normal(size=(60, 4))]
