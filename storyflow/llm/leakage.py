@@ -4,10 +4,12 @@ Postings (term, doc, position) of the training text are stored for the terms the
 window of ``n`` words of an item the term with the fewest postings is an anchor; every occurrence of an anchor proposes an
 alignment (doc, item, offset). The offset-adjusted postings of all other terms are then
 intersected within the proposed alignments only, and runs of ``n`` and more agreeing positions are exact phrase matches;
-alignments with enough agreeing words in a span that is not one run are proximity matches.
+alignments with a stretch of at least ``n`` agreeing words, dense enough, that is not one run are proximity matches,
+whatever agrees by chance elsewhere.
 
-Every window has an anchor, so no exact match is lost. Common terms are never joined by term alone: they meet the
-proposed alignments by (doc, position).
+Every window has an anchor, so no exact match is lost. An edited word can take away the anchor of a window, so
+alignments are also proposed by short runs: a dense stretch always holds some, whichever words were edited. Common terms are
+never joined by term alone: they are compared at the proposed alignments only.
 
 Defined results: null and empty text on either side matches nothing; items shorter than ``n`` words match
 nothing; copies of a document or item each match by their own id; repeated rows count once.
@@ -15,7 +17,10 @@ nothing; copies of a document or item each match by their own id; repeated rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -30,11 +35,34 @@ def build_postings(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFram
     return materialize(tokens.select("term", "doc_id", "pos"), "postings")
 
 
+def _runs_of(texts: DataFrame, r: int) -> DataFrame:
+    """(id, at, g): hashes of all runs of ``r`` words of the texts (id, text)."""
+    w = words(F.col("text"))
+    runs = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w) - (r - 1), F.lit(0))).alias(f"w{i}") for i in range(r)])
+    return texts.select("id", F.posexplode(runs).alias("at", "run")).select("id", "at", F.xxhash64("run").alias("g"))
+
+
+def run_length(n: int, min_share: float) -> tuple[int, int]:
+    """(r, least): every stretch of k >= n agreeing words within k / min_share positions has at least ``least`` places where
+    r words agree one after another, with r the largest, at most 3, for which there is such a number.
+
+    With e strange words the k agreeing ones form at most e + 1 runs, and a run of x words holds x - r + 1 such places.
+    """
+    share = Fraction(str(min_share))
+    for r in range(min(3, n), 1, -1):
+        # k - (e + 1) * (r - 1) for the most strange words k allows; it rises or repeats from one period of share to the next
+        least = min(k - (math.floor(k / share) - k + 1) * (r - 1) for k in range(n, n + 4 * share.numerator + 1))
+        if least >= 1 and share > (1 - share) * (r - 1):
+            return r, least
+    return 1, n
+
+
 class LeakIndex:
     """The positional index of a corpus, asked for the passages of test items."""
 
     def __init__(self, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n: int = 12):
         self.n = n
+        self.doc_texts, self.item_texts = (rows.select(F.col(c).alias("id"), F.col(text).alias("text")) for rows, c in ((docs, doc_id), (items, item_id)))
         tokens = items.select(F.col(item_id).alias("item_id"), F.posexplode(words(F.col(text))).alias("j", "term")).distinct()
         self.items = materialize(tokens, "items")
         self.postings = build_postings(docs, doc_id, text, self.items)
@@ -50,26 +78,61 @@ class LeakIndex:
         # a window whose rarest term is nowhere in the corpus can't match
         return chosen.filter("a.df > 0").select("item_id", F.col("a.j").alias("j"), F.col("a.term").alias("term")).distinct()
 
-    def alignments(self) -> DataFrame:
-        """(doc_id, item_id, shift): places proposed by at least one anchor."""
+    def short_runs(self, min_share: float) -> DataFrame:
+        """(doc_id, item_id, shift): places where two runs of ``r`` words begin to agree, for proximity matches.
+
+        A stretch of L positions with at most L * (1 - min_share) strange words and at least n agreeing ones falls into few
+        runs, so some of them have ``r`` words whichever words were edited; see ``run_length``.
+        """
+        r, least = run_length(self.n, min_share)
+        asked = materialize(_runs_of(self.item_texts, r).select("g", F.col("id").alias("item_id"), F.col("at").alias("j")).distinct(), "item-runs")
+        held = _runs_of(self.doc_texts, r).select("g", F.col("id").alias("doc_id"), F.col("at").alias("pos"))
+        hits = held.join(asked, "g").groupBy("doc_id", "item_id", (F.col("pos") - F.col("j")).alias("shift")).agg(F.count("*").alias("hits"))
+        return hits.filter(F.col("hits") >= least).select("doc_id", "item_id", "shift")
+
+    def alignments(self, min_share: float, near: bool = True) -> DataFrame:
+        """(doc_id, item_id, shift): places proposed by at least one anchor or by enough short runs."""
         hits = self.postings.join(self.anchors(), "term")
-        return hits.select("doc_id", "item_id", (F.col("pos") - F.col("j")).alias("shift")).distinct()
-
-    def agreeing(self) -> DataFrame:
-        """(doc_id, item_id, shift, js): sorted item positions whose term stands at the aligned place of the document."""
-        proposed = materialize(self.alignments(), "alignments")
-        wanted = proposed.join(self.items, "item_id").select("doc_id", "item_id", "shift", "j", "term", (F.col("shift") + F.col("j")).alias("pos"))
-        near = self.postings.join(proposed.select("doc_id").distinct(), "doc_id", "left_semi")
-        found = wanted.join(near, ["doc_id", "pos", "term"]).groupBy("doc_id", "item_id", "shift")
-        return found.agg(F.array_sort(F.collect_set("j")).alias("js")).filter(F.size("js") >= self.n)
-
-    def matches(self, min_share: float = 0.75) -> DataFrame:
-        """(doc_id, item_id, longest, agreeing, kind): kind is ``exact`` (a run of n words) or ``near``."""
+        exact = hits.select("doc_id", "item_id", (F.col("pos") - F.col("j")).alias("shift"))
+        return (exact.unionByName(self.short_runs(min_share)) if near else exact).distinct()
+
+    def agreeing(self, min_share: float = 0.75, near: bool = True) -> DataFrame:
+        """(doc_id, item_id, shift, js): sorted item positions whose term stands at the aligned place of the document.
+
+        The proposed places of a document cut the words below the item out of it, so no term travels by itself.
+        """
+        items = materialize(self.item_texts.select(F.col("id").alias("item_id"), words(F.col("text")).alias("iw")).filter("size(iw) > 0").distinct(), "item-words")
+        proposed = materialize(self.alignments(min_share, near), "alignments").join(items.select("item_id", F.size("iw").alias("len")), "item_id")
+        places = proposed.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "len")).alias("places"))
+        docs = self.doc_texts.select(F.col("id").alias("doc_id"), words(F.col("text")).alias("dw")).join(places, "doc_id")
+
+        def cut(a: Column) -> Column:
+            first = F.greatest(a["shift"], F.lit(0))
+            return F.struct(a["item_id"].alias("item_id"), a["shift"].alias("shift"), F.slice("dw", first + 1, F.greatest(a["shift"] + a["len"] - first, F.lit(0))).alias("part"))
+
+        one = docs.select("doc_id", F.explode(F.transform("places", cut)).alias("p")).select("doc_id", "p.*").join(items, "item_id")
+        before = F.greatest(-F.col("shift"), F.lit(0))
+        same = F.zip_with("part", F.slice("iw", before + 1, F.size("part")), lambda x, y: x == y)
+        js = F.filter(F.transform(same, lambda e, k: F.when(e, k + before)), lambda j: j.isNotNull())
+        return materialize(one.select("doc_id", "item_id", "shift", js.alias("js")).filter(F.size("js") >= self.n), "agreeing")
+
+    def matches(self, min_share: float = 0.75, near: bool = True) -> DataFrame:
+        """(doc_id, item_id, longest, agreeing, kind): kind is ``exact`` (a run of n words) or ``near``; exact ones are whole without ``near``, too."""
         # length of the longest run: positions minus their rank are equal within a run
         starts = F.transform("js", lambda j, i: j - i)
         runs = F.transform(F.array_distinct("starts"), lambda s: F.size(F.filter("starts", lambda x: x == s)))
-        one = self.agreeing().withColumn("starts", starts).withColumn("longest", F.array_max(runs))
-        span = F.element_at("js", -1) - F.element_at("js", 1) + 1
-        one = one.withColumn("near", F.size("js") >= span * min_share)
+        one = self.agreeing(min_share, near).withColumn("starts", starts).withColumn("longest", F.array_max(runs))
+        # a stretch of k >= n positions within k / min_share: q * k - p * span >= 0, by the least value at its possible
+        # starts in one pass, in whole numbers
+        share = Fraction(str(min_share))
+        p, q = share.numerator, share.denominator
+        height = lambda i: (q * i - p * F.element_at("js", i.cast("int"))).cast("long")
+        start = F.struct(F.lit(2**62).alias("low"), F.lit(False).alias("ok"))
+
+        def step(s: Column, i: Column) -> Column:
+            low = F.least(s["low"], height(i - (self.n - 1)))
+            return F.struct(low.alias("low"), (s["ok"] | (height(i) + (q - p) >= low)).alias("ok"))
+
+        one = one.withColumn("near", F.aggregate(F.sequence(F.lit(self.n), F.size("js")), start, step, lambda s: s["ok"]))
         best = one.filter((F.col("longest") >= self.n) | F.col("near")).groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max(F.size("js")).alias("agreeing"))
         return best.withColumn("kind", F.when(F.col("longest") >= self.n, "exact").otherwise("near"))

@@ -84,14 +84,14 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d, "article").select(F.col("q").alias("article_id"), F.col("id").alias("neighbour_id"), F.col("sim").alias("similarity"))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str, near: bool = True) -> DataFrame:
     docs, items = _read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "eval_items").select("item_id", "text")
-    return LeakIndex(docs, items).matches()
+    return LeakIndex(docs, items).matches(near=near)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that contain at least 12 consecutive words of a test item, with the item."""
-    return _leaks(spark, d).filter("kind = 'exact'").select("doc_id", "item_id")
+    return _leaks(spark, d, near=False).filter("kind = 'exact'").select("doc_id", "item_id")
 
 
 def p8_matches(spark: SparkSession, d: str) -> DataFrame:
