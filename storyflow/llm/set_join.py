@@ -12,7 +12,8 @@ Keys travel as packed blobs, one per task and target bucket, which spares a row
 carries a 64-bit parity sketch of its set: its distance to another sketch never exceeds the true one, so
 candidates are discarded without loss before anything else is shuffled. What is left is verified on the
 sets themselves. Equal sets are one class throughout. Keys whose expected list is long are salted: their
-index entries go to every salt, each probe to one, so no task has to hold a hot list alone.
+index entries go to every salt, each probe to one, so no task has to hold a hot list alone. Whether a key is hot
+depends on the key and on figures of all sets only.
 
 Defined results: null or empty text in any field excludes a record; repeated rows of one id count once;
 similarity equal to the threshold is a match; words are compared by 64-bit hash.
@@ -36,6 +37,8 @@ from ..session import materialize
 COMMON_WORDS = 16_384
 #: Expected entries of a list from which a key is salted, and the number of salts.
 HOT_LIST, SALTS = 200_000, 16
+#: Fractions of a natural logarithm in which frequencies are summed.
+_ODDS_UNIT = 2**20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,16 +75,18 @@ def segments_of(band: int, threshold: Fraction) -> int:
 class _Batch:
     """Flattened sets of one batch: tokens grouped by record, with what every key needs."""
 
-    def __init__(self, ids: np.ndarray, toks: list[np.ndarray], common: np.ndarray, log_odds: np.ndarray, rare: float, n_sets: int):
+    def __init__(self, ids: np.ndarray, toks: list[np.ndarray], common: np.ndarray, log_odds: np.ndarray, rare: float, n_sets: int, mean_size: float):
         self.ids, self.sizes = ids, np.array([len(t) for t in toks], dtype=np.int64)
         self.flat = np.concatenate(toks).astype(np.int64).view(np.uint64)
         self.rec = np.repeat(np.arange(len(ids)), self.sizes)
         at = np.searchsorted(common, self.flat.view(np.int64)).clip(0, len(common) - 1) if len(common) else np.zeros(len(self.flat), dtype=np.int64)
-        self.odds = np.where(common[at] == self.flat.view(np.int64), log_odds[at], rare) if len(common) else np.full(len(self.flat), rare)
+        odds = np.where(common[at] == self.flat.view(np.int64), log_odds[at], rare) if len(common) else np.full(len(self.flat), rare)
+        # whole numbers: their sums are the same in any order, so an estimate depends on a key's words alone
+        self.odds = np.rint(odds * _ODDS_UNIT).astype(np.int64)
         self.mixed = _mix(self.flat)
         bits = np.uint64(1) << (self.mixed % np.uint64(64))
         self.sketch = np.bitwise_xor.reduceat(bits, np.concatenate([[0], np.cumsum(self.sizes)[:-1]])) if len(ids) else np.array([], dtype=np.uint64)
-        self.log_n = math.log(max(n_sets, 2))
+        self.log_n, self.mean_size = math.log(max(n_sets, 2)), mean_size
 
     def keys(self, recs: np.ndarray, band: int, m: int, need: np.ndarray, index: bool) -> pd.DataFrame:
         """Keys of the records ``recs`` in the segmentation of ``band``; without ``index`` only those they probe."""
@@ -94,18 +99,22 @@ class _Batch:
         order = np.argsort(cell, kind="stable")
         cell, mixed, odds = cell[order], _mix(mixed[order] + np.uint64(0xABCD)), odds[order]
         n_cells = len(recs) * m
-        content, log_e = np.zeros(n_cells, dtype=np.uint64), np.zeros(n_cells)
+        content, log_e = np.zeros(n_cells, dtype=np.uint64), np.zeros(n_cells, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.array([], dtype=np.int64)
         if len(cell):
             content[cell[starts]] = np.add.reduceat(mixed, starts)
             log_e[cell[starts]] = np.add.reduceat(odds, starts)
         # expected list lengths: of the segment's words, and of these with one word less
-        base = self.log_n - float(self.sizes.mean()) / m
-        e_list = np.exp(np.minimum(log_e + base, 60))
-        d_each = np.exp(np.minimum(log_e[cell] - odds + base, 60))
+        # (figures of all sets, never of the batch: both sides of a pair must find the same key hot)
+        base = self.log_n - self.mean_size / m
+        # compared as whole numbers: exp may round differently by its place in an array
+        hot_from = math.ceil((math.log(HOT_LIST) - base) * _ODDS_UNIT) if HOT_LIST > 0 else np.iinfo(np.int64).min
+        log_d = log_e[cell] - odds
+        e_list = np.exp(np.minimum(log_e / _ODDS_UNIT + base, 60))
+        d_each = np.exp(np.minimum(log_d / _ODDS_UNIT + base, 60))
         d_list = np.bincount(cell, weights=d_each, minlength=n_cells)
         c0 = e_list.reshape(-1, m) + 1e-9
-        c1 = (e_list * (1 + float(self.sizes.mean()) / m) + d_list).reshape(-1, m)
+        c1 = (e_list * (1 + self.mean_size / m) + d_list).reshape(-1, m)
         step = np.concatenate([c0, np.maximum(c1 - c0, c0 * 1.0000001)], axis=1)
         rank = np.argsort(np.argsort(step, axis=1, kind="stable"), axis=1, kind="stable")
         chosen = rank < need[:, None]
@@ -120,12 +129,12 @@ class _Batch:
         rec = np.concatenate([e_rec, d_rec])
         lev = np.concatenate([level, d_level])
         kind = np.concatenate([np.zeros(len(ekey), dtype=np.int8), np.ones(len(dkey), dtype=np.int8)])
-        size = np.concatenate([e_list, d_each])
+        hot = np.concatenate([log_e, log_d]) >= hot_from
         if not index:
             keep = lev > 0
-            key, rec, lev, kind, size = key[keep], rec[keep], lev[keep], kind[keep], size[keep]
+            key, rec, lev, kind, hot = key[keep], rec[keep], lev[keep], kind[keep], hot[keep]
         flags = kind + lev * 2 + (8 if index else 0)
-        return pd.DataFrame({"key": key, "rec": rec, "how": flags.astype(np.uint8), "hot": size > HOT_LIST})
+        return pd.DataFrame({"key": key, "rec": rec, "how": flags.astype(np.uint8), "hot": hot})
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -246,12 +255,13 @@ class SimilarSets:
         if not n_sets:
             return self.spark.createDataFrame([], "a long, b long")
         common, odds, rare = self._word_odds(n_sets)
+        mean_size = n_words / n_sets
         # about a million keys a bucket
         n_buckets = buckets or max(self.spark.sparkContext.defaultParallelism * 2, math.ceil(2.2 * n_words / 1_000_000))
 
         def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in _gathered(batches):
-                b = _Batch(pdf.id.to_numpy(dtype=np.int64), list(pdf.toks), common, odds, rare, n_sets)
+                b = _Batch(pdf.id.to_numpy(dtype=np.int64), list(pdf.toks), common, odds, rare, n_sets, mean_size)
                 bands = band_of(b.sizes)
                 parts = []
                 for band in np.unique(bands):
