@@ -152,6 +152,31 @@ def test_hot_lists_are_salted_without_loss(spark, monkeypatch):
     assert {(r.a, r.b) for r in similar.expanded(similar.pairs(buckets=5)).collect()} == jaccard_pairs(rows, (8, 10))
 
 
+def test_hot_keys_are_the_same_in_every_batch(monkeypatch):
+    from inspect import signature
+
+    from storyflow.llm import set_join
+
+    rng = np.random.default_rng(5)
+    shared = [np.sort(rng.choice(40, size=rng.integers(24, 40), replace=False)).astype(np.int64) for _ in range(30)]
+    long = [np.arange(100, 100 + 400, dtype=np.int64)] * 20
+    common, odds = np.arange(40, dtype=np.int64), rng.normal(-1, 0.3, 40)
+    more = (30.0,) if "mean_size" in signature(set_join._Batch.__init__).parameters else ()
+    ids = lambda t: np.arange(len(t))
+    need = np.full(len(shared), 8)
+    hot = 0
+    for limit in (1, 10, 100, 1_000, 10_000):
+        monkeypatch.setattr(set_join, "HOT_LIST", limit)
+        seen = {}
+        for sets in (shared, shared + long, [np.concatenate([t[1:]]) for t in shared]):
+            b = set_join._Batch(ids(sets), sets, common, odds, -9.0, 1_000_000, *more)
+            k = b.keys(np.arange(len(shared)), 4, 13, need, True)
+            for key, h in zip(k.key, k.hot):
+                assert seen.setdefault(key, h) == h
+        hot += sum(seen.values())
+    assert hot
+
+
 def test_allocation_can_always_cover():
     from fractions import Fraction
 
@@ -207,6 +232,18 @@ def test_leaks(spark):
     assert LeakIndex(d.limit(0), i).matches().count() == 0 and LeakIndex(d, i.limit(0)).matches().count() == 0
 
 
+def test_near_leaks_survive_chance_agreement_and_edited_rare_words(spark):
+    w = [f"t{i}" for i in range(60)]
+    passage = w[0:5] + ["x"] + w[6:10] + ["y"] + w[11:14]  # 12 of 14 words
+    chance = passage + [f"z{i}" for i in range(14, 50)] + [w[50]]  # one more agreeing word far behind
+    common = " ".join(w[:5] + w[6:10] + w[11:60])
+    # t5 and t10 are the rarest words of the windows over them, elsewhere in the corpus only
+    docs = [(1, " ".join(passage)), (2, " ".join(chance)), (3, " ".join(w[0:5] + ["x"] + w[6:9] + ["v", "y"] + w[11:14])), (4, "t5 and t10")]
+    docs += [(10 + i, " ".join(reversed(common.split()))) for i in range(5)]
+    found = LeakIndex(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")).matches().collect()
+    assert {(r.doc_id, r.kind) for r in found} == {(1, "near"), (2, "near")}
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
