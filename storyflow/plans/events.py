@@ -38,11 +38,22 @@ def _hour(period: str) -> F.Column:
     return F.concat(day.cast("string"), F.lit("T"), F.lpad(F.pmod(F.col(period), F.lit(24)).cast("string"), 2, "0"))
 
 
+#: Runs of the scheduled batch in the queries: the log is delivered in as many parts by time of arrival.
+RUNS = 3
+
+
 def _views(log: DataFrame) -> LambdaViews:
+    """The log delivered in parts, with a batch after each: the last one leaves only what no batch has seen to the fast layer."""
     views = LambdaViews(log.sparkSession)
-    views.ingest(log)
-    end = log.agg(F.max("seen_ms")).first()[0]
-    views.recompute(log, end if end is not None else 0)
+    first, last = log.agg(F.min("seen_ms"), F.max("seen_ms")).first()
+    if first is None:
+        return views
+    ends = [first + (last - first) * (i + 1) // RUNS for i in range(RUNS - 1)] + [last + HOUR_MS]
+    begin = None
+    for end in ends:
+        views.ingest(log.filter((F.col("seen_ms") <= end) & (F.col("seen_ms") > begin if begin is not None else F.lit(True))))
+        views.recompute(log, end)
+        begin = end
     return views
 
 

@@ -1,20 +1,23 @@
 """Session helpers and durable intermediate tables.
 
 Intermediate results that cut lineage are written as Parquet below the folder named by
-``spark.checkpoint.dir`` (shared by all executors, so the loss of one costs nothing).
-Only where that setting is absent, as in tests, a folder of our own is chosen.
+``spark.checkpoint.dir`` (shared by all executors, so the loss of one costs nothing). Where that
+setting is absent a local session gets a folder of its own, removed at its end; a cluster gets an error, as a
+folder of one machine can't be read by the others.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "storyflow", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings every operator assumes: UTC, AQE and Arrow."""
+def build_session(app: str = "storyflow", master: str | None = None, shared: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings every operator assumes: UTC, AQE and Arrow. ``shared`` is the folder all executors can reach."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -24,7 +27,7 @@ def build_session(app: str = "storyflow", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-    }
+    } | ({"spark.checkpoint.dir": shared} if shared else {})
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
@@ -38,7 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get().rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="storyflow-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
 
@@ -55,7 +61,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def superseded(df: DataFrame) -> None:
+    """Delete the table behind a result of ``materialize`` that nothing reads any more (a round that the next replaced)."""
+    path = getattr(df, "_scratch", None)
+    if isinstance(path, str):
+        remove_path(df.sparkSession, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

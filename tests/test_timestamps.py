@@ -1,3 +1,4 @@
+import pytest
 from storyflow.operators.late_events import HOUR_MS, LambdaViews, arrivals
 from storyflow.operators.timestamps import feed_zones, resolve_instants
 
@@ -65,12 +66,25 @@ def test_lambda_views(spark):
     views.ingest(df.filter("key = 'b'"))
     state = lambda: {(r.key, r.period): (r.provisional_n, r.n, r.frozen) for r in views.serve().collect()}
     assert state()[("a", 100)] == (1, 1, False)
-    views.recompute(df, 104 * h)
-    assert state()[("a", 100)] == (1, 2, False)
+    views.recompute(df, 105 * h)
+    assert state()[("a", 100)] == (1, 2, False) and not [p for p in views.increments.values() if p < 105]
+    # between two batches increments add to what the last batch found, and the next one absorbs them
+    late = arrivals(spark.createDataFrame([("a", 104 * h, 105 * h + 2), ("c", 104 * h, 105 * h + 3)], "key string, event_ms long, seen_ms long"), "event_ms", "seen_ms")
+    views.ingest(late)
+    assert state()[("a", 104)] == (1, 1, False) and state()[("a", 100)] == (1, 2, False)
+    more = arrivals(spark.createDataFrame([("a", 104 * h + 9, 106 * h)], "key string, event_ms long, seen_ms long"), "event_ms", "seen_ms")
+    df = df.unionByName(late)
+    views.recompute(df, 106 * h)
+    views.ingest(more)
+    assert state()[("a", 104)] == (2, 2, False) and state()[("c", 104)] == (1, 1, False)
+    df = df.unionByName(more)
+    with pytest.raises(ValueError):
+        views.recompute(df, 100 * h)
     assert [(r.key, r.period) for r in views.corrected().collect()] == [("a", 100)]
     views.recompute(df, 200 * h)
     assert state()[("a", 100)] == (1, 2, True)  # the third came after the cut-off
     views = LambdaViews(spark, views.path)  # opened again from the shared folder
+    assert state()[("a", 104)] == (2, 2, True)
     # frozen periods don't change, even when the log does
     views.recompute(df.limit(0), 201 * h)
     assert state()[("a", 100)] == (1, 2, True)
