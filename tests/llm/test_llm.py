@@ -217,6 +217,39 @@ def test_neighbours(spark):
     assert nearest_neighbours(usable_vectors(df.filter("vid < 3"), "vid", "v", 8), 5)[0].count() == 6
 
 
+def test_deep_trees_crowded_buckets_and_a_bounded_driver(spark, monkeypatch):
+    """Trees below the upper one, buckets cut into blocks; what reaches the driver doesn't grow with the vectors."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from storyflow.llm import knn
+
+    for name, value in (("SAMPLE", 120), ("CALIBRATE", 16), ("BRANCHES", 4), ("BUCKET", 32), ("BLOCK", 40), ("ONE_IN", 2)):
+        monkeypatch.setattr(knn, name, value)
+    taken = []
+    for how in ("toPandas", "collect"):
+        plain = getattr(Classic, how)
+        monkeypatch.setattr(Classic, how, lambda self, plain=plain: (lambda r: (taken.append(len(r)), r)[1])(plain(self)))
+    rng = np.random.default_rng(6)
+    most = []
+    for n in (300, 2400):
+        x = rng.normal(size=(n, 6)).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+        taken.clear()
+        found, info = nearest_neighbours(usable_vectors(df, "id", "v", 6), 3, leaf_rows=16, recall=0.99)
+        most.append((sum(taken), max(taken)))
+        got = {}
+        for r in found.toPandas().itertuples():
+            got.setdefault(r.q, set()).add(r.id)
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        hits = 0
+        for q in range(n):
+            sim = np.round(u @ u[q], 6)
+            sim[q] = -9
+            hits += len(set(np.lexsort((np.arange(n), -sim))[:3]) & got[q])
+        assert info["below"] > 0 and hits / (3 * n) >= 0.9
+    assert most[0] == most[1]
+
+
 # --- leakage --------------------------------------------------------------------------------------------------------
 
 
