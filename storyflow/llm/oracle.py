@@ -2,14 +2,19 @@
 
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
-ORACLE: dict[str, str] = {
-    "p4_found": """
-WITH w AS (SELECT article_id, list_distinct(regexp_extract_all(lower(title || ' ' || summary), '[\\p{L}\\p{N}]+')) AS ws FROM articles WHERE trim(title) <> '' AND trim(summary) <> ''),
+_SIMILAR = r"""WITH RECURSIVE w AS (SELECT article_id, list_distinct(regexp_extract_all(lower(title || ' ' || summary), '[\p{L}\p{N}]+')) AS ws FROM articles WHERE trim(title) <> '' AND trim(summary) <> ''),
 t AS (SELECT article_id, len(ws) AS n, unnest(ws) AS word FROM w), f AS (SELECT word, COUNT(*) AS df FROM t GROUP BY 1),
 r AS (SELECT article_id, n, word, ROW_NUMBER() OVER (PARTITION BY article_id ORDER BY df, word) AS r FROM t JOIN f USING (word)),
 p AS (SELECT * FROM r WHERE r <= n - CEIL(0.7 * n - 1e-9) + 1),
-c AS (SELECT DISTINCT a.article_id AS a, b.article_id AS b FROM p a JOIN p b ON a.word = b.word AND a.article_id < b.article_id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9)
-SELECT a AS article_id_a, b AS article_id_b FROM c JOIN w x ON x.article_id = a JOIN w y ON y.article_id = b WHERE 17 * len(list_intersect(x.ws, y.ws)) >= 7 * (len(x.ws) + len(y.ws))""",
+c AS (SELECT DISTINCT a.article_id AS a, b.article_id AS b FROM p a JOIN p b ON a.word = b.word AND a.article_id < b.article_id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9), alike AS (SELECT a, b FROM c JOIN w x ON x.article_id = a JOIN w y ON y.article_id = b WHERE 17 * len(list_intersect(x.ws, y.ws)) >= 7 * (len(x.ws) + len(y.ws)))
+"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"{_SIMILAR}SELECT a AS article_id_a, b AS article_id_b FROM alike",
+    "p4_groups": f"""{_SIMILAR}, class AS (SELECT article_id, MIN(article_id) OVER (PARTITION BY list_sort(ws)) AS class_id FROM w),
+e AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike), reach AS (SELECT a AS start, a AS v FROM e UNION SELECT r.start, e.b FROM reach r JOIN e ON e.a = r.v),
+g AS (SELECT start, MIN(v) AS group_id FROM reach GROUP BY 1), n AS (SELECT a, COUNT(*) AS n_links FROM e GROUP BY 1)
+SELECT group_id, class_id, article_id, n_links FROM g JOIN class ON class.article_id = start JOIN n ON n.a = start""",
     "p5_found": """
 WITH RECURSIVE l AS (SELECT DISTINCT left_cluster_id AS a, right_cluster_id AS b FROM cross_category_cluster_adjudications WHERE decision = 'same_story' AND left_cluster_id <> right_cluster_id),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a AS start, a AS v FROM e UNION SELECT r.start, e.b FROM reach r JOIN e ON e.a = r.v)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import address_key, guid_key
+from ..session import materialize
 from .components import connected_groups
 from .encoding import garbled_fields
 from .history_dedup import settle_batches
@@ -36,12 +37,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Articles linked to others by pairs alike enough, with the least article of their group and the class of equal word sets."""
+    """One row per article alike enough to another: least article of its group, its class of equal word sets, and its links.
+
+    ``n_links`` is the number of articles it is alike to: those of its class and of all similar classes. Copies are counted, not listed.
+    """
     similar = SimilarSets(_read(spark, d, "articles").select("article_id", "title", "summary"), "article_id", ["title", "summary"], "0.7")
-    groups = connected_groups(similar.pairs(), "a", "b").withColumnRenamed("member", "class_id")
-    rows = similar.members.join(groups, "class_id", "left").join(similar.classes.select("class_id", "n"), "class_id")
-    rows = rows.filter("group_id is not null or n > 1").select(F.coalesce("group_id", "class_id").alias("group_id"), "class_id", F.col("member").alias("article_id"))
-    return rows.distinct()
+    pairs = materialize(similar.pairs(), "class-pairs")
+    groups = connected_groups(pairs, "a", "b").withColumnRenamed("member", "class_id")
+    sizes = similar.classes.select("class_id", "n")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = both.join(sizes.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("across"))
+    classes = sizes.join(groups, "class_id", "left").join(across, "class_id", "left").filter("group_id is not null or n > 1")
+    classes = classes.select("class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.col("n") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"))
+    return similar.members.join(classes, "class_id").select("group_id", "class_id", F.col("member").alias("article_id"), "n_links").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,9 +11,12 @@ probes its own band and the one below, where partners of down to ``threshold`` t
 Keys travel as packed blobs, one per task and target bucket, which spares a row header per key. Each
 carries a 64-bit parity sketch of its set: its distance to another sketch never exceeds the true one, so
 candidates are discarded without loss before anything else is shuffled. What is left is verified on the
-sets themselves. Equal sets are one class throughout. Keys whose expected list is long are salted: their
-index entries go to every salt, each probe to one, so no task has to hold a hot list alone. Whether a key is hot
-depends on the key and on figures of all sets only.
+sets themselves. Equal sets are one class throughout.
+
+Long lists are measured, not guessed, as a template shared by many sets makes one whatever the odds of its words. A
+counting pass over all keys keeps those that may have ``HOT_LIST`` entries or more; the allocation counts a hot
+key at its measured length, so a set avoids it where it has cheaper segments, and where it can't, the
+list is cut into slices: each index entry lies in one slice, each probe goes to all of them.
 
 Defined results: null or empty text in any field excludes a record; repeated rows of one id count once;
 similarity equal to the threshold is a match; words are compared by 64-bit hash.
@@ -35,8 +38,8 @@ from ..session import materialize
 
 #: Frequencies of this many of the commonest words steer the allocation; the table sent to all tasks is bounded by it.
 COMMON_WORDS = 16_384
-#: Expected entries of a list from which a key is salted, and the number of salts.
-HOT_LIST, SALTS = 200_000, 16
+#: Entries of a list from which a key counts as hot, and entries of a slice of it; hot keys that are sent to all tasks at most.
+HOT_LIST, SLICE, HOT_KEYS = 100_000, 50_000, 1_000_000
 #: Fractions of a natural logarithm in which frequencies are summed.
 _ODDS_UNIT = 2**20
 
@@ -75,7 +78,7 @@ def segments_of(band: int, threshold: Fraction) -> int:
 class _Batch:
     """Flattened sets of one batch: tokens grouped by record, with what every key needs."""
 
-    def __init__(self, ids: np.ndarray, toks: list[np.ndarray], common: np.ndarray, log_odds: np.ndarray, rare: float, n_sets: int, mean_size: float):
+    def __init__(self, ids: np.ndarray, toks: list[np.ndarray], common: np.ndarray, log_odds: np.ndarray, rare: float, n_sets: int, mean_size: float, hot: tuple[np.ndarray, np.ndarray] | None = None):
         self.ids, self.sizes = ids, np.array([len(t) for t in toks], dtype=np.int64)
         self.flat = np.concatenate(toks).astype(np.int64).view(np.uint64)
         self.rec = np.repeat(np.arange(len(ids)), self.sizes)
@@ -87,6 +90,15 @@ class _Batch:
         bits = np.uint64(1) << (self.mixed % np.uint64(64))
         self.sketch = np.bitwise_xor.reduceat(bits, np.concatenate([[0], np.cumsum(self.sizes)[:-1]])) if len(ids) else np.array([], dtype=np.uint64)
         self.log_n, self.mean_size = math.log(max(n_sets, 2)), mean_size
+        #: sorted hot keys and their measured lengths
+        self.hot_keys, self.hot_lengths = hot if hot is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def measured(self, key: np.ndarray) -> np.ndarray:
+        """The measured list lengths of hot keys, 0 for all others."""
+        if not len(self.hot_keys):
+            return np.zeros(len(key), dtype=np.int64)
+        at = np.searchsorted(self.hot_keys, key).clip(0, len(self.hot_keys) - 1)
+        return np.where(self.hot_keys[at] == key, self.hot_lengths[at], 0)
 
     def keys(self, recs: np.ndarray, band: int, m: int, need: np.ndarray, index: bool) -> pd.DataFrame:
         """Keys of the records ``recs`` in the segmentation of ``band``; without ``index`` only those they probe."""
@@ -104,14 +116,16 @@ class _Batch:
         if len(cell):
             content[cell[starts]] = np.add.reduceat(mixed, starts)
             log_e[cell[starts]] = np.add.reduceat(odds, starts)
-        # expected list lengths: of the segment's words, and of these with one word less
-        # (figures of all sets, never of the batch: both sides of a pair must find the same key hot)
+        salt = np.uint64((band * 1_000_003 + m) & 0xFFFFFFFF)
+        seg_no = np.tile(np.arange(m, dtype=np.uint64), len(recs))
+        ekey = _mix(content + seg_no * np.uint64(0x9E3779B97F4A7C15) + salt)
+        dkey = _mix(content[cell] - mixed + seg_no[cell] * np.uint64(0x9E3779B97F4A7C15) + salt)
+        # list lengths: of the segment's words, and of these with one word less; expected ones, and measured ones where they
+        # are hot (figures of all sets, never of the batch: both sides of a pair must see the same)
         base = self.log_n - self.mean_size / m
-        # compared as whole numbers: exp may round differently by its place in an array
-        hot_from = math.ceil((math.log(HOT_LIST) - base) * _ODDS_UNIT) if HOT_LIST > 0 else np.iinfo(np.int64).min
-        log_d = log_e[cell] - odds
-        e_list = np.exp(np.minimum(log_e / _ODDS_UNIT + base, 60))
-        d_each = np.exp(np.minimum(log_d / _ODDS_UNIT + base, 60))
+        e_hot, d_hot = self.measured(ekey), self.measured(dkey)
+        e_list = np.maximum(np.exp(np.minimum(log_e / _ODDS_UNIT + base, 60)), e_hot)
+        d_each = np.maximum(np.exp(np.minimum((log_e[cell] - odds) / _ODDS_UNIT + base, 60)), d_hot)
         d_list = np.bincount(cell, weights=d_each, minlength=n_cells)
         c0 = e_list.reshape(-1, m) + 1e-9
         c1 = (e_list * (1 + self.mean_size / m) + d_list).reshape(-1, m)
@@ -119,17 +133,13 @@ class _Batch:
         rank = np.argsort(np.argsort(step, axis=1, kind="stable"), axis=1, kind="stable")
         chosen = rank < need[:, None]
         level = (chosen[:, :m].astype(np.int8) + chosen[:, m:].astype(np.int8)).ravel()
-        salt = np.uint64((band * 1_000_003 + m) & 0xFFFFFFFF)
-        seg_no = np.tile(np.arange(m, dtype=np.uint64), len(recs))
-        ekey = _mix(content + seg_no * np.uint64(0x9E3779B97F4A7C15) + salt)
-        dkey = _mix(content[cell] - mixed + seg_no[cell] * np.uint64(0x9E3779B97F4A7C15) + salt)
         e_rec, d_rec = recs[np.repeat(np.arange(len(recs)), m)], recs[cell // m]
         d_level = np.where(level[cell] == 2, 2, 0).astype(np.int8)
         key = np.concatenate([ekey, dkey])
         rec = np.concatenate([e_rec, d_rec])
         lev = np.concatenate([level, d_level])
         kind = np.concatenate([np.zeros(len(ekey), dtype=np.int8), np.ones(len(dkey), dtype=np.int8)])
-        hot = np.concatenate([log_e, log_d]) >= hot_from
+        hot = np.concatenate([e_hot, d_hot])
         if not index:
             keep = lev > 0
             key, rec, lev, kind, hot = key[keep], rec[keep], lev[keep], kind[keep], hot[keep]
@@ -163,6 +173,24 @@ def _pack(bucket: np.ndarray, b: _Batch, k: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "ids", "keys", "sketches", "sizes", "flags"])
 
 
+def _sliced(bucket: np.ndarray, b: _Batch, k: pd.DataFrame, n_buckets: int) -> tuple[np.ndarray, _Batch, pd.DataFrame]:
+    """Entries of hot keys spread over the slices of their list: an index entry to one by its id, a probe to all."""
+    length = k.hot.to_numpy()
+    if not length.any():
+        return bucket, b, k
+    slices = -(-length // SLICE)
+    own = (_mix(b.ids[k.rec.to_numpy()].view(np.uint64)) % np.maximum(slices, 1).astype(np.uint64)).astype(np.int64)
+    how, hot = k.how.to_numpy(), length > 0
+    copies, places = [k[~hot]], [bucket[~hot]]
+    for s in range(int(slices.max())):
+        here = hot & (slices > s)
+        f = np.where(own == s, how, how & 7).astype(np.uint8)  # without the index flag elsewhere
+        keep = here & ((f & 14) > 0)
+        copies.append(k[keep].assign(how=f[keep]))
+        places.append((bucket[keep] + s * 7919) % n_buckets)
+    return np.concatenate(places), b, pd.concat(copies, ignore_index=True)
+
+
 def _candidates(blobs: pd.DataFrame, threshold: Fraction, block: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Pairs of one bucket that share a key in an allowed way and whose sizes and sketches are near enough."""
     cat = lambda c, kind: np.concatenate([_unplanes(x, kind) for x in blobs[c]])
@@ -247,6 +275,30 @@ class SimilarSets:
         odds = np.log(p / (1 - p))
         return top.w.to_numpy(dtype=np.int64), odds, float(odds.min()) if len(odds) else -math.log(max(n_sets, 2))
 
+    def _hot_keys(self, n_sets: int, n_words: int, keyed) -> tuple[np.ndarray, np.ndarray] | None:
+        """Hot keys and lengths, from a pass over the keys of all sets.
+
+        A set has a key at most once, so fewer sets than HOT_LIST have no hot key. A key of that many entries has its
+        share of the entries in at least one batch; batches tell the keys with at least half that share, and the lengths they
+        told sum up to at least half of the true one.
+        """
+        n_keys = 2.2 * n_words
+        least = max(HOT_LIST, n_keys / HOT_KEYS)
+        if n_sets < least:
+            return None
+        share = least / (2 * n_keys)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _, k in keyed(batches, None):
+                key, n = np.unique(k.key.to_numpy()[(k.how.to_numpy() & 8) > 0], return_counts=True)
+                much = n >= max(2, share * n.sum())
+                yield pd.DataFrame({"key": key[much].view(np.int64), "n": n[much]})
+
+        told = self.sets.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least / 2).toPandas()
+        key = told.key.to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(key)
+        return key[order], told.n.to_numpy(dtype=np.int64)[order]
+
     def pairs(self, buckets: int | None = None) -> DataFrame:
         """(a, b): class ids, a < b, of all similar pairs of different sets."""
         threshold = self.threshold
@@ -259,9 +311,9 @@ class SimilarSets:
         # about a million keys a bucket
         n_buckets = buckets or max(self.spark.sparkContext.defaultParallelism * 2, math.ceil(2.2 * n_words / 1_000_000))
 
-        def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def keyed(batches: Iterator[pd.DataFrame], hot) -> Iterator[tuple[_Batch, pd.DataFrame]]:
             for pdf in _gathered(batches):
-                b = _Batch(pdf.id.to_numpy(dtype=np.int64), list(pdf.toks), common, odds, rare, n_sets, mean_size)
+                b = _Batch(pdf.id.to_numpy(dtype=np.int64), list(pdf.toks), common, odds, rare, n_sets, mean_size, hot)
                 bands = band_of(b.sizes)
                 parts = []
                 for band in np.unique(bands):
@@ -271,22 +323,14 @@ class SimilarSets:
                     low = recs[b.sizes[recs] * threshold.numerator <= top * threshold.denominator] if band else recs[:0]
                     if len(low):
                         parts.append(b.keys(low, int(band) - 1, segments_of(int(band) - 1, threshold), max_difference(b.sizes[low] + top, threshold) + 1, False))
-                k = pd.concat(parts, ignore_index=True)
+                yield b, pd.concat(parts, ignore_index=True)
+
+        hot = self._hot_keys(n_sets, n_words, keyed)
+
+        def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b, k in keyed(batches, hot):
                 bucket = (k.key.to_numpy() % np.uint64(n_buckets)).astype(np.int64)
-                hot = k.hot.to_numpy()
-                if hot.any():  # index entries to every salt, probes to one
-                    own = (_mix(b.ids[k.rec.to_numpy()].view(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
-                    h = k[hot]
-                    copies = [k[~hot]]
-                    places = [bucket[~hot]]
-                    for s in range(SALTS):
-                        mine = own[hot] == s
-                        f = np.where(mine, h.how, h.how & 9)
-                        keep = mine | ((f & 8) > 0)
-                        copies.append(h.assign(how=f.astype(np.uint8))[keep])
-                        places.append(((bucket[hot] + s * 7919) % n_buckets)[keep])
-                    k, bucket = pd.concat(copies, ignore_index=True), np.concatenate(places)
-                yield _pack(bucket, b, k)
+                yield _pack(*_sliced(bucket, b, k, n_buckets))
 
         def find(blobs: pd.DataFrame) -> pd.DataFrame:
             found = list(_candidates(blobs, threshold))

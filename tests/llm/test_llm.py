@@ -142,39 +142,47 @@ def test_similar_sets_equal_brute_force(spark):
     assert empty.expanded(empty.pairs()).count() == 0
 
 
-def test_hot_lists_are_salted_without_loss(spark, monkeypatch):
+def test_hot_lists_are_sliced_without_loss(spark, monkeypatch):
     from storyflow.llm import set_join
 
     monkeypatch.setattr(set_join, "HOT_LIST", 0.0)
+    monkeypatch.setattr(set_join, "SLICE", 10)
     rng = random.Random(8)
     rows = [(i, "a b c", " ".join(rng.choices("defghijklm", k=12))) for i in range(60)]
     similar = SimilarSets(spark.createDataFrame(rows, "id long, t string, s string"), "id", ["t", "s"], "0.8")
     assert {(r.a, r.b) for r in similar.expanded(similar.pairs(buckets=5)).collect()} == jaccard_pairs(rows, (8, 10))
 
 
-def test_hot_keys_are_the_same_in_every_batch(monkeypatch):
-    from inspect import signature
-
+def test_a_key_of_a_third_of_all_sets_is_measured_avoided_and_sliced(monkeypatch):
+    """Sets with one template of rare words: no frequency tells it, the count does; slices share the list evenly."""
     from storyflow.llm import set_join
 
     rng = np.random.default_rng(5)
-    shared = [np.sort(rng.choice(40, size=rng.integers(24, 40), replace=False)).astype(np.int64) for _ in range(30)]
-    long = [np.arange(100, 100 + 400, dtype=np.int64)] * 20
-    common, odds = np.arange(40, dtype=np.int64), rng.normal(-1, 0.3, 40)
-    more = (30.0,) if "mean_size" in signature(set_join._Batch.__init__).parameters else ()
-    ids = lambda t: np.arange(len(t))
-    need = np.full(len(shared), 8)
-    hot = 0
-    for limit in (1, 10, 100, 1_000, 10_000):
-        monkeypatch.setattr(set_join, "HOT_LIST", limit)
-        seen = {}
-        for sets in (shared, shared + long, [np.concatenate([t[1:]]) for t in shared]):
-            b = set_join._Batch(ids(sets), sets, common, odds, -9.0, 1_000_000, *more)
-            k = b.keys(np.arange(len(shared)), 4, 13, need, True)
-            for key, h in zip(k.key, k.hot):
-                assert seen.setdefault(key, h) == h
-        hot += sum(seen.values())
-    assert hot
+    template = np.arange(1000, 1016, dtype=np.int64)
+    plain = [np.sort(rng.choice(100_000, 30, replace=False)).astype(np.int64) + 5000 for _ in range(400)]
+    sets = plain + [np.concatenate([template, np.sort(t[:14])]) for t in plain[:200]]
+    ids, none = np.arange(len(sets)), np.zeros(0, np.int64)
+    batch = lambda hot: set_join._Batch(ids, sets, none, np.zeros(0), -6.0, len(sets), 30.0, hot)
+    m, need = segments_of(4, __import__("fractions").Fraction(7, 10)), np.full(len(sets), max_difference(60, __import__("fractions").Fraction(7, 10)) + 1)
+    before = batch(None)
+    k = before.keys(ids, 4, m, need, True)
+    key, n = np.unique(k.key, return_counts=True)
+    told = n >= 150
+    assert told.any()
+    b = batch((key[told], n[told]))
+    k = b.keys(ids, 4, m, need, True)
+    on_hot = lambda k, keys: int((np.isin(k.key, keys) & (((k.how.to_numpy() >> 1) & 3) > 0)).sum())
+    full = key[told]
+    assert (k.hot.to_numpy() > 0).sum() == n[told].sum()
+    assert on_hot(k, full) <= on_hot(before.keys(ids, 4, m, need, True), full)
+    monkeypatch.setattr(set_join, "SLICE", 20)
+    bucket = (k.key.to_numpy() % np.uint64(1009)).astype(np.int64)
+    place, _, out = set_join._sliced(bucket, b, k, 1009)
+    index = (out.how.to_numpy() & 8) > 0
+    assert index.sum() == ((k.how.to_numpy() & 8) > 0).sum()  # every index entry in exactly one slice
+    one = out.key.to_numpy() == full[np.argmax(n[told])]
+    most = np.bincount(place[one & index]).max()
+    assert most <= 3 * set_join.SLICE  # of a list of hundreds
 
 
 def test_allocation_can_always_cover():
