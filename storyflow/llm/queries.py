@@ -9,7 +9,7 @@ from ..functions.urls import address_key, guid_key
 from ..session import materialize
 from .components import connected_groups
 from .encoding import garbled_fields
-from .history_dedup import settle_batches
+from .history_dedup import key_prints, settle_batches, text_prints
 from .knn import nearest_neighbours, usable_vectors
 from .leakage import LeakIndex
 from .mixing import Mixture
@@ -24,10 +24,17 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Articles that repeat an earlier one by address or identifier, with the earliest of them."""
-    rows = _read(spark, d, "articles").select("article_id", "batch_no", "canonical_url", "guid", "source_host")
-    keys = [F.concat(F.lit("u "), address_key(F.col("canonical_url"))), F.concat(F.lit("g "), guid_key(F.col("source_host"), F.col("guid")))]
-    found = settle_batches(rows, keys, "article_id", "batch_no")
-    return found.select(F.col("first_id").alias("first_article_id"), F.col("id").alias("article_id")).distinct()
+    rows = _read(spark, d, "articles")
+    keys = F.array(F.concat(F.lit("u "), address_key(F.col("canonical_url"))), F.concat(F.lit("g "), guid_key(F.col("source_host"), F.col("guid"))))
+    found = settle_batches(key_prints(rows.select(F.col("batch_no").alias("batch"), F.col("article_id").alias("id"), F.explode(keys).alias("key"))))
+    return found.groupBy(F.col("id").alias("article_id")).agg(F.min("first_id").alias("first_article_id")).select("first_article_id", "article_id")
+
+
+def p3_near(spark: SparkSession, d: str) -> DataFrame:
+    """Articles at least 80 % of whose winnowed five-word shingles stand in an earlier one of like length, with the earliest of these."""
+    text = F.concat_ws(" ", "title", "summary", "content")
+    rows = _read(spark, d, "articles").select(F.col("batch_no").alias("batch"), F.col("article_id").alias("id"), text.alias("text"))
+    return settle_batches(text_prints(rows), 0.8).select(F.col("first_id").alias("first_article_id"), F.col("id").alias("article_id")).distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -135,4 +142,4 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_matches": p8_matches, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
+QUERIES = {"p3_found": p3_found, "p3_near": p3_near, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_matches": p8_matches, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}

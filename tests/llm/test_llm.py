@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyflow.llm.components import connected_groups
 from storyflow.llm.encoding import garbled_fields, misread, restore, sequences
-from storyflow.llm.history_dedup import HistoryStore, settle_batches, winnow
+from storyflow.llm.history_dedup import HistoryStore, key_prints, settle_batches, text_prints, winnow
 from storyflow.llm.knn import nearest_neighbours, usable_vectors
 from storyflow.llm.leakage import LeakIndex
 from storyflow.llm.mixing import Mixture, token_counts
@@ -85,29 +85,69 @@ def test_winnow_guarantee():
     assert winnow(pd.Series([""]), 12, 24)[0].size == 1 and winnow(pd.Series([], dtype=str)) == []
 
 
+def prints(spark, rows):
+    return key_prints(spark.createDataFrame(rows, "id long, batch int, key string"))
+
+
 def test_batches(spark):
-    rows = [(1, 0, "u a", None), (2, 0, "u b", "g 1"), (3, 1, "u a", None), (4, 1, "u c", "g 1"), (5, 1, "u c", None), (6, 2, None, None), (7, 2, "u c", "g 9"), (7, 2, "u c", "g 9"), (8, 2, "u d" + "x" * 50_000, None), (9, 2, "u d" + "x" * 50_000, None)]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "id long, batch int, k1 string, k2 string, digest int")
-    got = {(r.first_id, r.id) for r in settle_batches(df, [F.col("k1"), F.col("k2")], "id", "batch").collect()}
-    assert got == {(1, 3), (2, 4), (4, 5), (4, 7), (8, 9)}
-    assert settle_batches(df.limit(0), [F.col("k1")], "id", "batch").count() == 0
+    rows = [(1, 0, "u a"), (2, 0, "u b"), (2, 0, "g 1"), (3, 1, "u a"), (4, 1, "u c"), (4, 1, "g 1"), (5, 1, "u c"), (6, 2, None), (7, 2, "u c"), (7, 2, "g 9"), (7, 2, "u c"), (8, 2, "u d" + "x" * 50_000), (9, 2, "u d" + "x" * 50_000)]
+    for together in (1, 3):
+        got = {(r.first_id, r.id) for r in settle_batches(prints(spark, rows), together=together).collect()}
+        assert got == {(1, 3), (2, 4), (4, 5), (4, 7), (8, 9)}
+    # earlier means by batch, then by id
+    assert {(r.first_id, r.id) for r in settle_batches(prints(spark, [(10, 0, "k"), (5, 1, "k"), (11, 2, "k"), (11, 3, "k")])).collect()} == {(10, 5), (10, 11)}
+    assert settle_batches(prints(spark, rows).limit(0)).count() == 0
 
 
-def test_store_survives_small_filters_and_partial_coverage(spark):
-    """Filters far too small raise lookups, never matches; below full coverage, edited copies are found."""
+def test_store_survives_small_filters_and_goes_on(spark):
+    """Filters far too small raise lookups, never matches; opened again, the store knows all; compaction loses nothing."""
     rng = random.Random(2)
     texts = ["".join(rng.choices("abcdefghij ", k=400)) for _ in range(30)]
-    store = HistoryStore(spark, 2, coverage=0.5, keys_per_part=1)
-    store.process(spark.createDataFrame(list(enumerate(texts)), "id long, key string"))
-    edited = [(100 + i, t[:380] + "zzz") for i, t in enumerate(texts)] + [(500, "".join(rng.choices("klmnop", k=300)))]
-    got = {(r.first_id, r.id) for r in spark.read.parquet(store.process(spark.createDataFrame(edited, "id long, key string"))).collect()}
-    assert got == {(i, 100 + i) for i in range(30)}
-    # opened again, it knows both batches; many small batches are compacted without loss
-    again = HistoryStore(spark, 2, store.path, coverage=1.0)
+    store = HistoryStore(spark, 2, prints_per_part=1)
+    assert store.process(prints(spark, [(i, 0, t) for i, t in enumerate(texts)])).count() == 0
+    assert store.process(prints(spark, [(100, 1, texts[4][:380] + "zzz")])).count() == 0
+    again = HistoryStore(spark, 2, store.path)
     again.COMPACT = 1
-    for n, key in enumerate([texts[3], edited[4][1], "new " * 30]):
-        out = again.process(spark.createDataFrame([(700 + n, key)], "id long, key string"))
-        assert [r.first_id for r in spark.read.parquet(out).collect()] == [[3], [104], []][n]
+    for n, (key, first) in enumerate([(texts[3], [3]), (texts[4][:380] + "zzz", [100]), ("new " * 30, []), ("new " * 30, [702])]):
+        assert [r.first_id for r in again.process(prints(spark, [(700 + n, 2 + n, key)])).collect()] == first
+
+
+def test_near_texts_equal_brute_force(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(120):
+        if texts and rng.random() < 0.7:
+            w = rng.choice(texts).split()
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randrange(50))
+        else:
+            w = [f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 8, 40, 90]))]
+        texts.append(" ".join(w))
+    texts += ["shared boilerplate line of a feed that stands in every text of it " * 3 + f"own{i} words{i} here{i}" for i in range(30)]
+    rows = [(i, i * 5 // len(texts), t) for i, t in enumerate(texts)] + [(900, 4, None), (901, 4, "..."), (902, 4, "")]
+    df = text_prints(spark.createDataFrame(rows, "id long, batch int, text string"))
+    fps = {r.id: (r.batch, set(r.fps)) for r in df.collect()}
+    want = set()
+    for i, (b, f) in fps.items():
+        earlier = [(bb, j) for j, (bb, g) in fps.items() if (bb, j) < (b, i) and len(f & g) >= 0.8 * max(len(f), len(g)) - 1e-9]
+        if earlier:
+            want.add((min(earlier)[1], i))
+    got = {(r.first_id, r.id) for r in settle_batches(df, 0.8, together=2).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_rows_read_do_not_grow_with_the_history(spark):
+    """A batch opens the partitions its positives fall into, whatever lies in the others."""
+    read = []
+    for n in (400, 4000):
+        store = HistoryStore(spark, n, prints_per_part=100)
+        plain = store._read
+        store.process(prints(spark, [(i, 0, f"key number {i} of the history") for i in range(n)]))
+        seen = []
+        store._read = lambda kind, schema, parts: (lambda df: (seen.append(df.count()) if kind == "postings" else None, df)[1])(plain(kind, schema, parts))
+        assert [r.first_id for r in store.process(prints(spark, [(n, 1, "key number 7 of the history")])).collect()] == [7]
+        read.append(sum(seen))
+    assert 0 < read[1] <= 3 * read[0] and read[1] < 400
 
 
 # --- sets -----------------------------------------------------------------------------------------------------------
