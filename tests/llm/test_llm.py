@@ -35,6 +35,30 @@ def test_twice_and_mixed():
     assert all(len(k) > 1 or k == "�" for k in sequences())
 
 
+@pytest.mark.parametrize("text", ["Привет, как дела?", "Καλημέρα κόσμε", "日本語のテキスト", "Łódź", "Příliš žluťoučký kůň", "Tiếng Việt"])
+def test_other_alphabets(text):
+    for encoding in ("cp1252", "latin-1"):
+        assert restore(misread(text, encoding)) == (text, restore(misread(text, encoding))[1], 0)
+
+
+@pytest.mark.parametrize(("true", "read_as", "text"), [
+    ("cp1252", "mac_roman", "La crème brûlée de l'été à Genève"), ("mac_roman", "cp1252", "La crème brûlée de l'été à Genève"), ("cp1252", "cp1251", "La crème brûlée de l'été"),
+    ("cp1252", "cp437", "größer Müller schön"), ("cp1252", "cp850", "größer Müller schön"), ("cp1251", "latin-1", "Привет, добрый день"), ("koi8-r", "cp1251", "Привет, добрый день"),
+])
+def test_single_byte_pairs(true, read_as, text):
+    got, spans, lost = restore(misread(text, read_as, true))
+    assert got == text and spans and not lost
+
+
+@pytest.mark.parametrize("text", ["ГЁ", "«В©»", "Вµ", "┬░", "Рёбра и ГЁ", "été»…", "┌─┬░┐", "œuvre Œdipe l’ÉTÉ", "McÉvoy", "naïve Ñandú – «año»", "Съешь ещё этих мягких булок", "Ελληνικά κείμενα", "Île-d’Yeu Paris–Nice col·lecció Lego®"])
+def test_correct_text_stays(text):
+    assert restore(text) == (text, 0, 0)
+
+
+def test_lost_bytes_are_counted():
+    assert restore("M\x81ller")[1:] == (1, 1)
+
+
 def test_garbled_fields(spark):
     long = "x" * 200_000 + misread("é", "latin-1")
     df = spark.createDataFrame([(1, "CafÃ©", None, "k"), (2, "", "plain é", "k"), (3, long, "�", "k"), (1, "CafÃ©", None, "k")], "id long, title string, summary string, key string")
