@@ -397,6 +397,37 @@ def test_levels(spark):
     assert reading_levels(d.limit(0), lab).count() == 0 and reading_levels(d, lab.limit(0)).count() == 0
 
 
+def test_vocabulary_equals_plain_iterations(spark, monkeypatch):
+    """Packed rows, partitions of words and states give what a plain loop over documents and words gives."""
+    from storyflow.llm import reading_level as R
+
+    monkeypatch.setattr(R, "PACKED", 60)
+    rng = random.Random(11)
+    docs = {i: [rng.choice([1, 2, 3, 10 + i // 6, 10 + (i + 3) // 6]) for _ in range(rng.randrange(1, 20))] for i in range(60)}
+    docs[90] = [777, 777]  # no grade reaches it
+    docs[91] = docs[5]
+    grade = {i: float(i % 7 + 1) for i in docs if i % 5 == 0 and i != 90}
+    rows = [(i, w, grade.get(i)) for i, w in docs.items()]
+    means, rounds = R.vocabulary_difficulty(spark.createDataFrame(rows, "doc_id long, hashes array<long>, grade double").repartition(3))
+    f, want = dict(grade), {}
+    for _ in range(rounds + 1):
+        s, n = {}, {}
+        for i, w in docs.items():
+            if i in f:
+                for x in w:
+                    t = 1 if i in grade else R.TRUST
+                    s[x], n[x] = s.get(x, 0) + t * f[i], n.get(x, 0) + t
+        difficulty = {x: s[x] / n[x] for x in s}
+        for i, w in docs.items():
+            known = [difficulty[x] for x in w if x in difficulty]
+            if known:
+                want[i] = sum(known) / len(known)
+                if i not in grade:
+                    f[i] = want[i]
+    got = {r.doc_id: r["mean"] for r in means.collect()}
+    assert got.pop(90) is None and got == pytest.approx(want) and rounds > 1
+
+
 def test_wrapped_prose_counts_whole(spark):
     from storyflow.llm.reading_level import prose
 
