@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed a single time per row, though later filters and columns use it.
+
+    The optimiser moves a filter below the projection it looks at and computes the column for both; it can't move one below a
+    generator. For expensive expressions over long texts only.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
 #: White space as scripting runtimes see it (wider than the regex class of the JVM).
 WIDE_SPACE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 #: Fixed value: runs of letters and digits.
