@@ -101,7 +101,7 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, d: str, near: bool = True) -> DataFrame:
     docs, items = _read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "eval_items").select("item_id", "text")
-    return LeakIndex(docs, items).matches(near=near)
+    return LeakIndex.build(docs).matches(items, near=near)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -331,10 +331,10 @@ def test_leaks(spark):
     items = [(10, " ".join(w)), (11, "a short item"), (12, None), (13, " ".join(w[5:17])), (14, "the " * 14)]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, term int")
     i = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, pos int")
-    found = {(r.doc_id, r.item_id): r.kind for r in LeakIndex(d, i).matches().collect()}
+    found = {(r.doc_id, r.item_id): r.kind for r in LeakIndex.build(d).matches(i).collect()}
     assert {k for k, v in found.items() if v == "exact"} == {(1, 10), (1, 13), (5, 10), (5, 14), (7, 10), (7, 13)}
     assert found[(6, 10)] == "near" and (2, 10) not in {k for k, v in found.items() if v == "exact"}
-    assert LeakIndex(d.limit(0), i).matches().count() == 0 and LeakIndex(d, i.limit(0)).matches().count() == 0
+    assert LeakIndex.build(d.limit(0)).matches(i).count() == 0 and LeakIndex.build(d).matches(i.limit(0)).count() == 0
 
 
 def test_near_leaks_survive_chance_agreement_and_edited_rare_words(spark):
@@ -345,10 +345,46 @@ def test_near_leaks_survive_chance_agreement_and_edited_rare_words(spark):
     # t5 and t10 are the rarest words of the windows over them, elsewhere in the corpus only
     docs = [(1, " ".join(passage)), (2, " ".join(chance)), (3, " ".join(w[0:5] + ["x"] + w[6:9] + ["v", "y"] + w[11:14])), (4, "t5 and t10")]
     docs += [(10 + i, " ".join(reversed(common.split()))) for i in range(5)]
-    found = LeakIndex(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")).matches().collect()
+    found = LeakIndex.build(spark.createDataFrame(docs, "doc_id long, text string")).matches(spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")).collect()
     assert {(r.doc_id, r.kind) for r in found} == {(1, "near"), (2, "near")}
 
 
+def test_gaps_and_a_second_set_of_items(spark, tmp_path):
+    """Insertions and deletions are proximity matches; the stored index answers anew without the documents."""
+    import shutil
+
+    w = [f"t{i}" for i in range(60)]
+    docs = [(1, " ".join(w[0:6] + ["new", "words"] + w[6:12])), (2, " ".join(w[20:26] + w[28:34])), (3, " ".join(w[0:6] + ["x"] * 6 + w[6:12])), (4, " ".join(w[40:60]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    index = LeakIndex.build(spark.read.parquet(f"{tmp_path}/docs"))
+    item = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    assert {(r.doc_id, r.kind, r.agreeing) for r in index.matches(item).collect()} == {(1, "near", 12), (2, "near", 12), (4, "exact", 20)}
+    shutil.rmtree(f"{tmp_path}/docs")
+    again = LeakIndex(spark, index.path)
+    second = spark.createDataFrame([(8, " ".join(w[41:53])), (9, "nothing " * 20)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.kind) for r in again.matches(second).collect()] == [(4, 8, "exact")]
+
+
+def test_near_leaks_equal_brute_force(spark):
+    from storyflow.llm.leakage import longest_chain
+
+    rng = random.Random(12)
+    items = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([12, 14, 20, 40]))] for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        body = list(rng.choice(items))
+        for _ in range(rng.randrange(0, 7)):
+            at = rng.randrange(len(body))
+            body[at : at + rng.randrange(0, 2)] = [f"z{rng.randrange(9)}"] * rng.randrange(0, 3)
+        docs.append([f"w{rng.randrange(60)}" for _ in range(rng.randrange(20))] + body + ["end"])
+    code = {}
+    num = lambda ws: np.array([code.setdefault(x, len(code)) for x in ws])
+    want = {(d, i) for d, dw in enumerate(docs) for i, iw in enumerate(items) if longest_chain(num(dw), num(iw), 16) >= 12}
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    got = LeakIndex.build(df).matches(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 20
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
