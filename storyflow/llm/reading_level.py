@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..session import materialize, superseded
 
 #: Weight of an ungraded document against a graded one; largest change at which the iterations end, and rounds at most.
@@ -79,10 +80,11 @@ def prose(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     within it, so that an unfinished tail takes no complete sentence with it.
     """
     words = r"\p{L}+[^\S\t]+\p{L}+[^\S\t]+\p{L}+"
-    done = F.transform(_paragraphs(F.col(text)), lambda x: F.when(x.rlike(_ENDS), x).when(~x.rlike(_ITEM), F.regexp_extract(x, _LAST_END, 1)).otherwise(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.filter(done, lambda x: x.rlike(words)).alias("lines")).filter("size(lines) > 0")
-    rows = rows.withColumn("body", F.array_join("lines", "\n"))
-    rows = rows.withColumn("tokens", F.regexp_extract_all(F.lower("body"), F.lit(r"([\p{L}]+)"), F.lit(1))).filter("size(tokens) > 0")
+    done = F.transform(_paragraphs(F.col("text")), lambda x: F.when(x.rlike(_ENDS), x).when(~x.rlike(_ITEM), F.regexp_extract(x, _LAST_END, 1)).otherwise(""))
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    lines = F.filter(done, lambda x: x.rlike(words))
+    rows = once(rows, "body", F.array_join(lines, "\n")).drop("text").filter("body <> ''")
+    rows = once(rows, "tokens", F.regexp_extract_all(F.lower("body"), F.lit(r"([\p{L}]+)"), F.lit(1))).filter("size(tokens) > 0")
     n = F.size(F.regexp_extract_all("body", F.lit(f"({_SENTENCE_END})"), F.lit(1)))
     return rows.select("doc_id", "tokens", (F.size("tokens") / F.greatest(n, F.lit(1))).alias("sentence_length"))
 
