@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import non_empty, words
+from ..functions.text import non_empty, once, words
 from ..session import materialize
 
 #: Frequencies of this many of the commonest words steer the allocation; the table sent to all tasks is bounded by it.
@@ -191,7 +191,7 @@ def _sliced(bucket: np.ndarray, b: _Batch, k: pd.DataFrame, n_buckets: int) -> t
     return np.concatenate(places), b, pd.concat(copies, ignore_index=True)
 
 
-def _candidates(blobs: pd.DataFrame, threshold: Fraction, block: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def _candidates(blobs: pd.DataFrame, threshold: Fraction, block: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Pairs of one bucket that share a key in an allowed way and whose sizes and sketches are near enough."""
     cat = lambda c, kind: np.concatenate([_unplanes(x, kind) for x in blobs[c]])
     ids, key, sk, size, fl = cat("ids", np.int64), cat("keys", np.uint64), cat("sketches", np.uint64), cat("sizes", np.int32), cat("flags", np.uint8)
@@ -241,9 +241,10 @@ def word_sets(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     good: Column = F.lit(True)
     for f in fields:
         good &= non_empty(F.col(f))
-    text = F.concat_ws(" ", *fields)
+    text = F.concat_ws(" ", *[F.col(f"_{i}") for i in range(len(fields))])
     toks = F.array_sort(F.transform(F.array_distinct(words(text)), lambda w: F.xxhash64(w)))
-    return rows.filter(good).select(F.col(id_col).alias("id"), toks.alias("toks")).filter("size(toks) > 0").withColumn("set_hash", F.xxhash64("toks"))
+    sets = once(rows.filter(good).select(F.col(id_col).alias("id"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]), "toks", toks)
+    return sets.select("id", "toks").filter("size(toks) > 0").withColumn("set_hash", F.xxhash64("toks"))
 
 
 class SimilarSets:
