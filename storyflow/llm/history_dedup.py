@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import once, words
 from ..session import materialize, read_text, remove_path, scratch_path, write_text
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -91,7 +91,7 @@ def text_prints(rows: DataFrame, gram: int = 5, window: int = 4) -> DataFrame:
     n = F.greatest(F.size("w") - (gram - 1), F.lit(1))
     code = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")
     hashes = F.transform(F.sequence(F.lit(1), n), lambda i: code(F.array_join(F.slice("w", i, gram), " ")))
-    rows = rows.select("batch", "id", w.alias("w")).filter("size(w) > 0").select("batch", "id", *_digests(F.array_join("w", " ")), hashes.alias("hashes"))
+    rows = once(rows.filter("text is not null"), "w", w).filter("size(w) > 0").select("batch", "id", *_digests(F.array_join("w", " ")), hashes.alias("hashes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
