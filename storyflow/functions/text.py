@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,13 @@ SECRET_PATTERNS = (
     r"(\bxox[abprs]-)[A-Za-z0-9-]{8,}",
     r"(\bAIza)[A-Za-z0-9_-]{16,}",
     r"(\bAKIA)[A-Z0-9]{12,}",
+    r"(\bgsk_)[A-Za-z0-9]{8,}",
+    r"(\bnvapi-)[A-Za-z0-9_-]{8,}",
+    r"(\bgithub_pat_)[A-Za-z0-9_]{8,}",
+    r"(\bcsk-)[A-Za-z0-9_-]{8,}",
+    r"(\btgp_v1_)[A-Za-z0-9_-]{8,}",
+    r"(\brl_live_)[A-Za-z0-9]{8,}",
+    r"(\bapf_)[A-Za-z0-9]{8,}",
     r"(://[^/\s:@]+:)[^@\s/]+@",
 )
 
@@ -117,8 +126,60 @@ def story_tokens(c: Column, most: int = 80) -> Column:
     return F.slice(F.array_distinct(parts), 1, most)
 
 
-def strong_tokens(title: Column, summary: Column) -> Column:
-    """Distinct acronyms of the title and amounts with a unit of the summary."""
+#: Spellings of units in Latin script and Chinese, and the name each stands for.
+UNITS = {
+    "%": "percent", "percent": "percent", "per cent": "percent", "pct": "percent", "prozent": "percent",
+    "$": "usd", "usd": "usd", "dollars": "usd", "us dollars": "usd", "€": "eur", "eur": "eur", "euros": "eur", "£": "gbp", "gbp": "gbp",
+    "k": "thousand", "thousand": "thousand", "m": "million", "mn": "million", "million": "million", "bn": "billion", "billion": "billion", "tn": "trillion", "trillion": "trillion",
+    "万": "ten thousand", "亿": "hundred million", "万亿": "trillion", "元": "cny", "美元": "usd", "欧元": "eur",
+    "mw": "megawatt", "gw": "gigawatt", "km": "kilometre", "tonnes": "tonne", "tons": "tonne",
+}
+
+
+def strong_tokens(title: Column, summary: Column, units: dict[str, str] = UNITS) -> Column:
+    """Distinct acronyms of the title, and amounts of the summary as number and unit; all spellings of a unit give one token."""
     acronyms = F.regexp_extract_all(title, F.lit(r"(?:^|[^\p{L}\p{N}])([A-Z][A-Z0-9]{2,})(?:$|[^\p{L}\p{N}])"), F.lit(1))
-    amounts = F.regexp_extract_all(F.lower(summary), F.lit(r"([0-9][0-9.,]*\s*(?:units|sites|stück|sedes|pièces|%|usd|eur))"), F.lit(1))
-    return F.array_distinct(F.concat(acronyms, F.transform(amounts, lambda x: F.regexp_replace(x, r"\s+", ""))))
+    aliases = "|".join(re.escape(a) for a in sorted(units, key=lambda a: (-len(a), a)))
+    amounts = F.regexp_extract_all(F.lower(summary), F.lit(rf"((?:[0-9][0-9.,]*[0-9]|[0-9])\s*(?:{aliases}))"), F.lit(1))
+    names = F.create_map(*[F.lit(x) for kv in units.items() for x in kv])
+    number = lambda x: F.replace(F.regexp_extract(x, r"^([0-9.,]+)", 1), F.lit(","), F.lit(""))
+    unit = lambda x: F.try_element_at(names, F.regexp_extract(x, r"^[0-9.,]+\s*(.*)$", 1))
+    return F.array_distinct(F.concat(acronyms, F.transform(amounts, lambda x: F.concat_ws(" ", number(x), unit(x)))))
+
+
+def strip_nul_json(c: Column) -> Column:
+    """JSON text without escaped or plain NUL characters at any depth, in keys and values; an escaped backslash before ``u0000`` stays."""
+    return F.regexp_replace(strip_nul(c), r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
+
+
+# --- settings given as text ---
+
+
+def as_number(c: Column, default: float) -> Column:
+    """A number, the default where there is none."""
+    return F.coalesce(F.trim(c).try_cast("double"), F.lit(float(default)))
+
+
+def as_flag(c: Column, default: bool) -> Column:
+    """True for 1, true, yes and on, false for 0, false, no and off, else the default."""
+    v = F.lower(F.trim(c))
+    return F.when(v.isin("1", "true", "yes", "on"), True).when(v.isin("0", "false", "no", "off"), False).otherwise(F.lit(default))
+
+
+def as_list(c: Column) -> Column:
+    """Trimmed entries between commas, without empty ones; null gives an empty list."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def as_limits(c: Column) -> Column:
+    """``name:number`` entries between commas as a map; entries without a number are left out, of repeated names the last counts."""
+    pairs = F.transform(as_list(c), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).try_cast("double").alias("v")))
+    good = F.filter(pairs, lambda p: (p["k"] != "") & p["v"].isNotNull())
+    last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.greatest(F.size(good), F.lit(1))), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
+def call_cost(tokens_in: Column, cached: Column, tokens_out: Column, rate_in: float, rate_cached: float, rate_out: float) -> Column:
+    """Cost of a call from rates per million tokens; cached tokens are part of the input and have a rate of their own."""
+    hit = F.least(F.greatest(F.coalesce(cached, F.lit(0)), F.lit(0)), F.coalesce(tokens_in, F.lit(0)))
+    return ((F.coalesce(tokens_in, F.lit(0)) - hit) * rate_in + hit * rate_cached + F.coalesce(tokens_out, F.lit(0)) * rate_out) / 1_000_000

@@ -1,6 +1,6 @@
 """Exact search of a stated set of query vectors against all rows, in blocks.
 
-Queries are taken in blocks of bounded size; each is broadcast and compared with all rows by dense products
+Queries are taken in blocks of bounded size; each is broadcast and compared with all rows by dense products of bounded size
 next to the scan. Only the k best (or those above a threshold) of each task travel, and a final ranking per query merges them.
 """
 
@@ -17,6 +17,8 @@ from ..session import materialize
 
 #: Queries per broadcast block: 8,192 vectors of 64 doubles are 4 MB.
 QUERY_BLOCK = 8_192
+#: Queries and rows of one dense product: no matrix in a worker has more than this many rows and columns.
+MATRIX = 1_024
 
 
 def block_search(queries: DataFrame, rows: DataFrame, k: int | None, threshold: float | None = None, group_rule: str = "any") -> DataFrame:
@@ -43,26 +45,31 @@ def block_search(queries: DataFrame, rows: DataFrame, k: int | None, threshold:
                 if not len(pdf):
                     continue
                 pdf = pdf.sort_values("id")
-                sim = np.round(vecs @ np.vstack(list(pdf.vec)).astype(np.float64).T, 6)
-                x = pdf.id.to_numpy()
-                ok = ids[:, None] != x[None, :]
-                if group_rule != "any":
-                    g = pdf.grp.to_numpy(dtype=object)
-                    known = np.array([v is not None for v in grps])[:, None] & np.array([v is not None for v in g])[None, :]
-                    same = (grps[:, None] == g[None, :]) & known
-                    ok &= same if group_rule == "same" else known & ~same
-                if threshold is not None:
-                    ok &= sim >= threshold
-                if k is None:
-                    r, c = np.nonzero(ok)
-                else:
-                    s = np.where(ok, sim, -np.inf)
-                    c = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    r = np.repeat(np.arange(len(ids)), c.shape[1])
-                    c = c.ravel()
-                    keep = np.isfinite(s[r, c])
-                    r, c = r[keep], c[keep]
-                yield pd.DataFrame({"query_id": ids[r], "id": x[c], "similarity": sim[r, c]})
+                x_ids, x, n = pdf.id.to_numpy(), np.vstack(list(pdf.vec)).astype(np.float64), len(pdf)
+                codes = pd.factorize(np.concatenate([grps, pdf.grp.to_numpy(dtype=object)]))[0]  # -1 for null
+                for a in range(0, len(ids), MATRIX):
+                    own, q_codes, best = ids[a : a + MATRIX], codes[a : a + MATRIX][: len(ids[a : a + MATRIX])], []
+                    for c in range(0, n, MATRIX):
+                        # whole numbers that order by similarity, then by id: the k least are unique
+                        s = np.rint(vecs[a : a + MATRIX] @ x[c : c + MATRIX].T * 1e6).astype(np.int64)
+                        ok = own[:, None] != x_ids[None, c : c + MATRIX]
+                        if group_rule != "any":
+                            x_codes = codes[len(ids) + c : len(ids) + c + MATRIX]
+                            same, known = q_codes[:, None] == x_codes[None, :], (q_codes[:, None] >= 0) & (x_codes[None, :] >= 0)
+                            ok &= known & (same if group_rule == "same" else ~same)
+                        if threshold is not None:
+                            ok &= s / 1e6 >= threshold
+                        if k is not None and s.shape[1] > k:
+                            rank = np.where(ok, (1_000_001 - s) * s.shape[1] + np.arange(s.shape[1]), np.iinfo(np.int64).max)
+                            kth = np.partition(rank, k - 1, axis=1)[:, k - 1 : k]
+                            ok &= rank <= kth
+                        r, col = np.nonzero(ok)
+                        best.append(pd.DataFrame({"query_id": own[r], "id": x_ids[c + col], "similarity": s[r, col] / 1e6}))
+                    found = pd.concat(best, ignore_index=True)
+                    if k is not None and len(best) > 1:
+                        found = found.iloc[np.lexsort((found.id, -found.similarity, found.query_id))]
+                        found = found[found.groupby("query_id").cumcount() < k]
+                    yield found
 
         part = rows.mapInPandas(search, schema)
         out = part if out is None else out.unionByName(part)

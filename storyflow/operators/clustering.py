@@ -1,8 +1,11 @@
 """Order-dependent clustering: online attachment of articles to stories, and greedy merging of stories.
 
-Articles are taken in bounded batches in time order. The nearest stories of a batch's articles are found by a
-distributed block search over the current stories; only the batch itself, at most ``batch_rows`` articles with
-``k`` candidates each, is then walked through one by one, so the sequential part never grows with the data.
+Articles are taken in bounded batches in order of time. The ``k`` nearest stories of a batch's articles are found by a
+distributed block search over the stories as they were before it; only the batch itself, at most ``batch_rows`` articles, is
+then walked through one by one. Stories that the batch made or moved are candidates of every later article of it. Should
+all ``k`` of an article have moved, and none be as near as the farthest of them was, an unmoved story further
+back could be the nearest: the batch ends there and the article opens the next one, so the walk equals one over all stories.
+Batches are cut by exact rank, so results don't depend on how rows are partitioned.
 
 Defined results: articles without usable vector are left out; equal similarity goes to the smaller story id; a new story
 takes the id of its first article.
@@ -14,25 +17,35 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, superseded
 from .block_search import block_search
 
 
-def attach(batch: Iterable[tuple[int, object, np.ndarray]], stories: dict[int, tuple[object, np.ndarray, int]], near: dict[int, list[int]], threshold: float) -> list[tuple[int, int, float, bool]]:
-    """Walk through a batch of (id, group, unit vector); ``stories`` is updated. Returns (id, story, similarity, created)."""
-    out, born = [], []
+def attach(batch: Iterable[tuple[int, object, np.ndarray]], stories: dict[int, tuple[object, np.ndarray, int]], near: dict[int, list[int]], threshold: float, least: dict[int, float] | None = None) -> list[tuple[int, int, float, bool]]:
+    """Walk through a batch of (id, group, unit vector); ``stories`` is updated. Returns (id, story, similarity, created).
+
+    ``least`` has the similarity of the last of a full list of nearest stories; the walk ends before an article whose nearest
+    story may not be among the candidates.
+    """
+    batch, out = list(batch), []
+    moved: dict[int, int] = {}  # story -> its row
+    matrix = np.zeros((len(batch), len(batch[0][2]) if batch else 0))
+    groups = np.empty(len(batch), dtype=object)
     for i, group, v in batch:
         best, best_sim = None, -2.0
-        for s in [*near.get(i, ()), *born]:
-            g, c, _ = stories[s]
-            if g != group or group is None:
-                continue
-            sim = round(float(c @ v), 6)
-            if sim > best_sim or (sim == best_sim and best is not None and s < best):
+        options = [(s, round(float(stories[s][1] @ v), 6)) for s in near.get(i, ()) if s not in moved and stories[s][0] == group]
+        if moved and group is not None:
+            ids = list(moved)
+            sims = np.round(matrix[: len(ids)] @ v, 6)
+            options += [(ids[x], float(sims[x])) for x in np.flatnonzero(groups[: len(ids)] == group)]
+        for s, sim in options if group is not None else ():
+            if sim > best_sim or (sim == best_sim and s < best):
                 best, best_sim = s, sim
+        if least is not None and i in least and best_sim < least[i] and all(s in moved for s in near[i]):
+            break
         if best is not None and best_sim >= threshold:
             g, c, n = stories[best]
             merged = (c * n + v) / (n + 1)
@@ -40,9 +53,11 @@ def attach(batch: Iterable[tuple[int, object, np.ndarray]], stories: dict[int, t
             stories[best] = (g, merged / length if length > 0 else merged, n + 1)
             out.append((i, best, best_sim, False))
         else:
+            best = i
             stories[i] = (group, v, 1)
-            born.append(i)
             out.append((i, i, 1.0, True))
+        row = moved.setdefault(best, len(moved))
+        matrix[row], groups[row] = stories[best][1], stories[best][0]
     return out
 
 
@@ -57,26 +72,43 @@ def online_clusters(articles: DataFrame, threshold: float = 0.65, k: int = 20, b
     n = articles.count()
     if not n:
         return spark.createDataFrame([], _OUT)
-    # cut the time line into batches; a batch bound is one row, however many articles there are
-    ordered = articles.select("id", "at").repartitionByRange(max(1, -(-n // batch_rows)), F.asc_nulls_first("at"), "id").withColumn("batch", F.spark_partition_id())
-    articles = materialize(articles.join(ordered.select("id", "batch"), "id"), "batched")
-    state, done = None, []
-    for b in [r["batch"] for r in articles.select("batch").distinct().orderBy("batch").collect()]:
-        part = articles.filter(F.col("batch") == b)
-        batch = part.orderBy(F.asc_nulls_first("at"), "id").toPandas()  # about batch_rows rows
+    # exact ranks: sorted ranges, their counts, and a row's place in its own range
+    ranges = max(1, -(-n // (4 * batch_rows)))
+    placed = articles.repartitionByRange(ranges, F.asc_nulls_first("at"), "id").withColumn("part", F.spark_partition_id())
+    placed = materialize(placed, "ranges")
+    counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # one row a range
+    before, starts = 0, []
+    for p in sorted(counts):
+        starts.append((p, before))
+        before += counts[p]
+    own = Window.partitionBy("part").orderBy(F.asc_nulls_first("at"), "id")
+    ranked = placed.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").withColumn("rank", F.col("start") + F.row_number().over(own) - 1)
+    ranked = materialize(ranked.select("id", "grp", "vec", "rank"), "ranked")
+    state, done, at = None, [], 0
+    while at < n:
+        part = ranked.filter(F.col("rank").between(at, at + batch_rows - 1))
+        batch = part.orderBy("rank").toPandas()  # batch_rows rows at most
         near: dict[int, list[int]] = {}
+        least: dict[int, float] = {}
         stories: dict[int, tuple] = {}
         if state is not None:
             found = block_search(part.select("id", "vec", "grp"), state.select(F.col("story_id").alias("id"), "vec", "grp"), k, None, "same").toPandas()
+            found = found.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
             near = found.groupby("query_id").id.apply(list).to_dict()
+            last = found.groupby("query_id").similarity.agg(["size", "min"])
+            least = last["min"][last["size"] == k].to_dict()
             wanted = spark.createDataFrame(pd.DataFrame({"story_id": found.id.unique()}), "story_id long")
-            touched = state.join(F.broadcast(wanted), "story_id", "left_semi").toPandas()
+            touched = state.join(F.broadcast(wanted), "story_id", "left_semi").toPandas()  # batch_rows x k rows at most
             stories = {r.story_id: (r.grp, np.asarray(r.vec), r.n) for r in touched.itertuples()}
-        rows = attach([(r.id, r.grp, np.asarray(r.vec)) for r in batch.itertuples()], stories, near, threshold)
+        rows = attach([(r.id, r.grp, np.asarray(r.vec)) for r in batch.itertuples()], stories, near, threshold, least)
+        at += len(rows)
         done.append(materialize(spark.createDataFrame(rows, _OUT), "attached"))
-        new = spark.createDataFrame([(s, g, [float(x) for x in c], int(m)) for s, (g, c, m) in stories.items()], _STATE)
+        changed = {s for _, s, _, _ in rows}
+        new = spark.createDataFrame([(s, stories[s][0], [float(x) for x in stories[s][1]], int(stories[s][2])) for s in changed], _STATE)
         kept = new if state is None else state.join(F.broadcast(new.select("story_id")), "story_id", "left_anti").unionByName(new)
-        state = materialize(kept, "stories")
+        old, state = state, materialize(kept, "stories")
+        if old is not None:
+            superseded(old)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,3 +56,56 @@ def cached_results(rows: DataFrame, text_col: str, cache: DataFrame, name: str,
     hashed = rows.withColumn("input_hash", input_hash(name, F.col(text_col)))
     hit, miss = split_by_cache(hashed, "input_hash", cache)
     return hit.unionByName(miss.join(ask(miss, "input_hash", text_col, model), "input_hash").select(*hit.columns))
+
+
+def valid_answer(text: str | None, schema: dict[str, type | tuple[type, ...]]) -> tuple[dict | None, str | None]:
+    """(answer, None) of a text that is or holds one JSON object with the demanded fields, else (None, what is wrong)."""
+    if text is None:
+        return None, "missing"
+    value = None
+    for part in (text, text[text.find("{") : text.rfind("}") + 1] if "{" in text else ""):
+        try:
+            value = json.loads(part)
+            break
+        except ValueError:
+            continue
+    if not isinstance(value, dict):
+        return None, "no JSON object"
+    for name, kind in schema.items():
+        if name not in value:
+            return None, f"{name} missing"
+        if not isinstance(value[name], kind) or (isinstance(value[name], bool) and kind is not bool):
+            return None, f"{name} of another type"
+    return {k: value[k] for k in schema}, None
+
+
+def ask_structured(inputs: DataFrame, key: str, text_col: str, model: Callable[[list[str]], list[str | None]], schema: dict[str, type | tuple[type, ...]], batch: int = 16, attempts: int = 3, fallback: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+    """(key, answer, attempts, error): answers as JSON objects with the demanded fields.
+
+    Inputs are asked ``batch`` at a time; those left out or broken are asked again one by one, up to ``attempts`` calls in all, then
+    once of ``fallback``. What is still broken has a null answer and the last error. A failing call counts as broken answers.
+    """
+
+    def called(f, texts):
+        try:
+            got = list(f(texts))
+        except Exception as e:  # an unreachable model is an answer too
+            return [(None, f"{type(e).__name__}: {e}"[:200])] * len(texts)
+        return [valid_answer(x, schema) for x in (got + [None] * len(texts))[: len(texts)]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for a in range(0, len(pdf), batch):
+                part = pdf.iloc[a : a + batch]
+                texts = part[text_col].fillna("").tolist()
+                for k, text, (answer, error) in zip(part[key], texts, called(model, texts)):
+                    n = 1
+                    while answer is None and n < attempts:
+                        (answer, error), n = called(model, [text])[0], n + 1
+                    if answer is None and fallback is not None:
+                        (answer, error), n = called(fallback, [text])[0], n + 1
+                    rows.append((k, json.dumps(answer, sort_keys=True, ensure_ascii=False) if answer is not None else None, n, error))
+            yield pd.DataFrame(rows, columns=[key, "answer", "attempts", "error"])
+
+    return inputs.select(key, text_col).dropDuplicates([key]).mapInPandas(run, f"{key} {inputs.schema[key].dataType.simpleString()}, answer string, attempts long, error string")

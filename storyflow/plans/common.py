@@ -42,3 +42,16 @@ def ts(text: str) -> Column:
 
 def ago(text: str, interval: str) -> Column:
     return ts(text) - F.expr(f"INTERVAL '{interval}'")
+
+
+def mean6(value: Column) -> Column:
+    """Mean of numbers taken to six decimals, rounded half up in whole numbers: the same whatever the order of the rows."""
+    n, total = F.count(value), F.sum(F.round(value * 1_000_000).try_cast("long"))
+    top, bottom = total * 2 + n, n * 2
+    return F.when(n > 0, F.try_divide(F.try_divide(top - F.pmod(top, bottom), bottom), F.lit(1e6)))
+
+
+def mean6_sql(v: str) -> str:
+    """The same in SQL."""
+    n, top = f"COUNT({v})", f"(2 * SUM(TRY_CAST(ROUND({v} * 1000000) AS BIGINT)) + COUNT({v}))"
+    return f"(CASE WHEN {n} > 0 THEN CAST(({top} - (({top} % (2 * {n}) + 2 * {n}) % (2 * {n}))) // (2 * {n}) AS DOUBLE) / 1e6 END)"

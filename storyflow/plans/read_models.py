@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AS_OF, AS_OF_EVENTS, Catalogue, ago, read, ts
+from .common import AS_OF, AS_OF_EVENTS, Catalogue, ago, mean6, mean6_sql, read, ts
 
 C = Catalogue()
 
@@ -16,9 +16,9 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     return bridge.join(read(spark, d, "articles").select("article_id", "source_host", "title"), "article_id")
 
 
-@C.add("""
+@C.add(f"""
 WITH m AS (SELECT DISTINCT cluster_id, article_id, similarity, role FROM cluster_articles), g AS (
- SELECT m.cluster_id, COUNT(*) AS n_articles, ROUND(AVG(similarity), 6) AS avg_similarity, ROUND(MIN(similarity), 6) AS min_similarity,
+ SELECT m.cluster_id, COUNT(*) AS n_articles, {mean6_sql("similarity")} AS avg_similarity, ROUND(MIN(similarity), 6) AS min_similarity,
   COUNT(DISTINCT source_host) AS n_sources, STRING_AGG(CAST(a.article_id AS VARCHAR), ',' ORDER BY (role = 'representative') DESC, similarity DESC NULLS LAST, a.article_id) AS article_ids
  FROM m JOIN articles a USING (article_id) GROUP BY m.cluster_id)
 SELECT c.cluster_id, c.title, COALESCE(c.category_slug, 'uncategorised') AS category_slug, COALESCE(n_articles, 0) AS n_articles, avg_similarity, min_similarity, COALESCE(n_sources, 0) AS n_sources, COALESCE(article_ids, '') AS article_ids
@@ -26,7 +26,7 @@ FROM story_clusters c LEFT JOIN g USING (cluster_id)""")
 def cluster_cards(spark: SparkSession, d: str) -> DataFrame:
     """Every story with its member quality and its articles, representative first, then by similarity."""
     g = _members(spark, d).groupBy("cluster_id").agg(
-        F.count("*").alias("n_articles"), F.round(F.avg("similarity"), 6).alias("avg_similarity"), F.round(F.min("similarity"), 6).alias("min_similarity"), F.countDistinct("source_host").alias("n_sources"),
+        F.count("*").alias("n_articles"), mean6(F.col("similarity")).alias("avg_similarity"), F.round(F.min("similarity"), 6).alias("min_similarity"), F.countDistinct("source_host").alias("n_sources"),
         F.array_sort(F.collect_list(F.struct(F.when(F.col("role") == "representative", 0).otherwise(1).alias("r"), F.coalesce(-F.col("similarity"), F.lit(9.0)).alias("s"), "article_id"))).alias("o"),
     )
     g = g.withColumn("article_ids", F.array_join(F.transform("o", lambda x: x["article_id"].cast("string")), ",")).drop("o")
@@ -45,18 +45,18 @@ def cluster_detail(spark: SparkSession, d: str) -> DataFrame:
     return _members(spark, d).join(known, "cluster_id", "left_semi").select("cluster_id", F.row_number().over(order).cast("long").alias("position"), "article_id", "title", "source_host", "role", F.round("similarity", 6).alias("similarity"))
 
 
-@C.add("""
-WITH m AS (SELECT cluster_id, COUNT(DISTINCT article_id) AS n, AVG(similarity) AS q FROM cluster_articles GROUP BY cluster_id),
+@C.add(f"""
+WITH m AS (SELECT cluster_id, COUNT(DISTINCT article_id) AS n, {mean6_sql("similarity")} AS q FROM cluster_articles GROUP BY cluster_id),
 s AS (SELECT c.cluster_id, COALESCE(c.category_slug, 'uncategorised') AS category_slug, COALESCE(n, 0) AS n, q FROM story_clusters c LEFT JOIN m USING (cluster_id))
-SELECT category_slug, COUNT(*) AS n_clusters, COUNT(*) FILTER (n = 1) AS single, COUNT(*) FILTER (n BETWEEN 2 AND 4) AS small, COUNT(*) FILTER (n BETWEEN 5 AND 14) AS medium, COUNT(*) FILTER (n >= 15) AS large, ROUND(AVG(q), 6) AS mean_quality, CAST(SUM(n) AS BIGINT) AS n_articles
+SELECT category_slug, COUNT(*) AS n_clusters, COUNT(*) FILTER (n = 1) AS single, COUNT(*) FILTER (n BETWEEN 2 AND 4) AS small, COUNT(*) FILTER (n BETWEEN 5 AND 14) AS medium, COUNT(*) FILTER (n >= 15) AS large, {mean6_sql("q")} AS mean_quality, CAST(SUM(n) AS BIGINT) AS n_articles
 FROM s GROUP BY category_slug""")
 def cluster_size_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Two-level aggregate: quality and size per story, then size buckets and mean quality per category."""
-    m = read(spark, d, "cluster_articles").groupBy("cluster_id").agg(F.countDistinct("article_id").alias("n"), F.avg("similarity").alias("q"))
+    m = read(spark, d, "cluster_articles").groupBy("cluster_id").agg(F.countDistinct("article_id").alias("n"), mean6(F.col("similarity")).alias("q"))
     s = read(spark, d, "story_clusters").select("cluster_id", F.coalesce("category_slug", F.lit("uncategorised")).alias("category_slug")).join(m, "cluster_id", "left").fillna(0, ["n"])
     return s.groupBy("category_slug").agg(
         F.count("*").alias("n_clusters"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n").between(2, 4)).alias("small"),
-        F.count_if(F.col("n").between(5, 14)).alias("medium"), F.count_if(F.col("n") >= 15).alias("large"), F.round(F.avg("q"), 6).alias("mean_quality"), F.sum("n").alias("n_articles"),
+        F.count_if(F.col("n").between(5, 14)).alias("medium"), F.count_if(F.col("n") >= 15).alias("large"), mean6(F.col("q")).alias("mean_quality"), F.sum("n").alias("n_articles"),
     )
 
 
@@ -120,21 +120,21 @@ def feed_quality(spark: SparkSession, d: str) -> DataFrame:
     return a.filter((F.col("n") >= 20) & (share >= 0.1)).withColumn("poor_share", F.round(share, 6)).join(f, "feed_id", "left").fillna(False, ["technical_failure"])
 
 
-@C.add("SELECT DATE_TRUNC('hour', ts) AS hour, COUNT(*) AS n_events, COUNT(DISTINCT user_id) AS n_users, ROUND(SUM(value), 4) AS total_value FROM events GROUP BY 1")
+@C.add("SELECT DATE_TRUNC('hour', ts) AS hour, COUNT(*) AS n_events, COUNT(DISTINCT user_id) AS n_users, CAST(SUM(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total_value FROM events GROUP BY 1")
 def hourly_series(spark: SparkSession, d: str) -> DataFrame:
     """Events per hour."""
-    return read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"), F.round(F.sum("value"), 4).alias("total_value"))
+    return read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total_value"))
 
 
-@C.add("""
-SELECT event_type AS operation, UPPER(SPLIT_PART(CONCAT('prov', CAST(user_id % 7 AS VARCHAR), '/x'), '/', 1)) AS provider, COALESCE(json_extract_string(props, '$.k'), '-') AS level, COUNT(*) AS n, COUNT(*) FILTER (event_type = 'error') AS failed, ROUND(AVG(value), 6) AS avg_latency, COALESCE(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0)::BIGINT AS tokens
+@C.add(f"""
+SELECT event_type AS operation, UPPER(SPLIT_PART(CONCAT('prov', CAST(user_id % 7 AS VARCHAR), '/x'), '/', 1)) AS provider, COALESCE(json_extract_string(props, '$.k'), '-') AS level, COUNT(*) AS n, COUNT(*) FILTER (event_type = 'error') AS failed, {mean6_sql("value")} AS avg_latency, COALESCE(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0)::BIGINT AS tokens
 FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1, 2, 3""")
 def usage_by_operation(spark: SparkSession, d: str) -> DataFrame:
     """Usage per operation, provider and JSON level over an open window."""
     e = read(spark, d, "events").filter(F.col("ts") >= ts("2024-01-29 00:00:00")).withColumn("k", F.get_json_object("props", "$.k"))
     provider = F.upper(F.split_part(F.concat_ws("", F.lit("prov"), F.pmod("user_id", F.lit(7)).cast("string"), F.lit("/x")), F.lit("/"), F.lit(1)))
     return e.groupBy(F.col("event_type").alias("operation"), provider.alias("provider"), F.coalesce("k", F.lit("-")).alias("level")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(F.avg("value"), 6).alias("avg_latency"), F.coalesce(F.sum(F.col("k").try_cast("long")), F.lit(0)).alias("tokens"))
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), mean6(F.col("value")).alias("avg_latency"), F.coalesce(F.sum(F.col("k").try_cast("long")), F.lit(0)).alias("tokens"))
 
 
 @C.add(f"""

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import UNITS
 from ..functions.text import strong_tokens as tokens_of
 from ..functions.vectors import unit, usable
 from ..operators.block_search import block_search
 from ..operators.clustering import greedy_matching
 from ..session import materialize
 from ..sources.schema import rejects
-from .common import AS_OF, Catalogue, ago, read, ts
+from .common import AS_OF, Catalogue, ago, mean6, mean6_sql, read, ts
 
 C = Catalogue()
 
 
 @C.add(f"""
 SELECT COALESCE(pair_type, '-') AS pair_type, COUNT(*) AS n, COUNT(*) FILTER (decision = 'same_story') AS same_story, COUNT(DISTINCT CASE WHEN decision = 'same_story' THEN left_cluster_id END) AS stories, COUNT(*) FILTER (decision = 'same_story' AND NOT merged AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 MINUTE) AS stale_open,
- MIN(created_at) FILTER (decision = 'same_story') AS first_same, MAX(created_at) FILTER (decision <> 'same_story') AS last_other, ROUND(AVG(max_article_similarity), 6) AS avg_similarity FROM cross_category_cluster_adjudications GROUP BY 1 HAVING COUNT(*) FILTER (decision = 'same_story') > 0""")
+ MIN(created_at) FILTER (decision = 'same_story') AS first_same, MAX(created_at) FILTER (decision <> 'same_story') AS last_other, {mean6_sql("max_article_similarity")} AS avg_similarity FROM cross_category_cluster_adjudications GROUP BY 1 HAVING COUNT(*) FILTER (decision = 'same_story') > 0""")
 def verdict_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Conditional counts, distinct counts, minima and maxima per pair kind, kept if a filtered count is positive."""
     same = F.col("decision") == "same_story"
     g = read(spark, d, "cross_category_cluster_adjudications").groupBy(F.coalesce("pair_type", F.lit("-")).alias("pair_type")).agg(
         F.count("*").alias("n"), F.count_if(same).alias("same_story"), F.count_distinct(F.when(same, F.col("left_cluster_id"))).alias("stories"), F.count_if(same & ~F.col("merged") & (F.col("created_at") < ago(AS_OF, "30 MINUTE"))).alias("stale_open"),
-        F.min(F.when(same, F.col("created_at"))).alias("first_same"), F.max(F.when(~same, F.col("created_at"))).alias("last_other"), F.round(F.avg("max_article_similarity"), 6).alias("avg_similarity"))
+        F.min(F.when(same, F.col("created_at"))).alias("first_same"), F.max(F.when(~same, F.col("created_at"))).alias("last_other"), mean6(F.col("max_article_similarity")).alias("avg_similarity"))
     return g.filter("same_story > 0")
 
 
@@ -40,12 +43,21 @@ def category_coverage(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.coalesce("category_slug", F.lit("-")).alias("category_slug")).agg(F.count("*").alias("n"), F.count_if(F.col("v")).alias("with_vector"), F.count_if(F.col("j").isNull()).alias("never_judged"))
 
 
-@C.add("""
-SELECT article_id, token FROM (SELECT article_id, unnest(list_distinct(list_concat(regexp_extract_all(title, '(?:^|[^\\p{L}\\p{N}])([A-Z][A-Z0-9]{2,})(?:$|[^\\p{L}\\p{N}])', 1), list_transform(regexp_extract_all(lower(summary), '[0-9][0-9.,]*\\s*(?:units|sites|stück|sedes|pièces|%|usd|eur)'), lambda x: regexp_replace(x, '\\s+', '', 'g'))))) AS token FROM articles WHERE title IS NOT NULL AND summary IS NOT NULL) t""")
+#: Units of the amounts in these texts, by alias, beside the general ones.
+_LOCAL_UNITS = {"units": "units", "sites": "sites", "stück": "units", "sedes": "sites", "pièces": "units"}
+_UNITS = UNITS | _LOCAL_UNITS
+_ALIASES = "|".join(re.escape(a) for a in sorted(_UNITS, key=lambda a: (-len(a), a)))
+_UNIT_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _UNITS.items()) + "}"
+
+
+@C.add(rf"""
+SELECT article_id, token FROM (SELECT article_id, unnest(list_distinct(list_concat(regexp_extract_all(title, '(?:^|[^\p{{L}}\p{{N}}])([A-Z][A-Z0-9]{{2,}})(?:$|[^\p{{L}}\p{{N}}])', 1),
+ list_transform(regexp_extract_all(lower(summary), '([0-9][0-9.,]*[0-9]|[0-9])\s*({_ALIASES})'), lambda x: replace(regexp_extract(x, '^([0-9.,]+)', 1), ',', '') || ' ' || {_UNIT_MAP}[regexp_extract(x, '^[0-9.,]+\s*(.*)$', 1)])))) AS token
+ FROM articles WHERE title IS NOT NULL AND summary IS NOT NULL) t""")
 def strong_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens that identify a story: acronyms of the title, amounts with their unit of the summary."""
+    """Tokens that identify a story: acronyms of the title, amounts of the summary with their unit under one name."""
     a = read(spark, d, "articles").filter("title is not null and summary is not null")
-    return a.select("article_id", F.explode(tokens_of(F.col("title"), F.col("summary"))).alias("token"))
+    return a.select("article_id", F.explode(tokens_of(F.col("title"), F.col("summary"), _UNITS)).alias("token"))
 
 
 @C.add("SELECT DISTINCT category_slug, channel, sha256(category_slug || '|' || channel) AS destination FROM (SELECT category_slug, CASE WHEN category_slug LIKE '%-power' THEN 'energy' ELSE split_part(category_slug, '-', 1) END AS channel FROM story_clusters WHERE category_slug IS NOT NULL) t")
@@ -72,6 +84,8 @@ def rejected_rows(spark: SparkSession, d: str) -> DataFrame:
 
 #: Pairs the greedy step looks at in one block, and merges of a pass.
 MERGE_CANDIDATES, MERGES = 2_000, 50
+#: Similarity from which two stories may merge.
+MERGE_SIMILARITY = 0.5
 
 
 def planned_merges(pairs: DataFrame, stories: DataFrame, block: int = MERGE_CANDIDATES, most: int = MERGES) -> list[tuple[int, int, float]]:
@@ -97,13 +111,13 @@ def planned_merges(pairs: DataFrame, stories: DataFrame, block: int = MERGE_CAND
 
 @C.add()
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
-    """One merge pass for the stated queries: similar stories of one category, best first, a source used once and never a target.
+    """One merge pass over all stories: similar ones of one category, best first, a source used once and never a target.
 
-    The candidates are ranked by Spark; the greedy step gets them in blocks of MERGE_CANDIDATES and stops after MERGES merges.
+    Every story is compared with every other of its category, in blocks. The candidates are ranked by Spark; the greedy step gets them in blocks of MERGE_CANDIDATES and stops after MERGES merges.
     """
     c = read(spark, d, "story_clusters").filter(usable(F.col("centroid_embedding_vector"), 64))
     s = c.select(F.col("cluster_id").alias("id"), unit(F.col("centroid_embedding_vector")).alias("vec"), F.col("category_slug").alias("grp"))
-    found = block_search(s.filter("id % 100 = 0"), s, None, 0.3, "same").select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "similarity").distinct()
+    found = block_search(s, s, None, MERGE_SIMILARITY, "same").filter("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity")
     size = c.select("cluster_id", F.coalesce("article_count", F.lit(0)).alias("n"), F.coalesce(F.col("latest_published_at").cast("string"), F.lit("")).alias("latest"))
     return spark.createDataFrame(planned_merges(found, size), "target_id bigint, source_id bigint, similarity double")
 

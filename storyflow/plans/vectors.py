@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, cosine, dot, unit, usable
@@ -37,8 +41,7 @@ SELECT cluster_id, list_transform(v, lambda x: ROUND(x / CASE WHEN list_inner_pr
 def story_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Centroid of every story's member vectors: mean per position, then unit length."""
     m = read(spark, d, "cluster_articles").select("cluster_id", "article_id").distinct().join(_articles(spark, d), "article_id")
-    p = m.select("cluster_id", F.posexplode("u").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg("x").alias("x"))
-    c = p.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    c = m.groupBy("cluster_id").agg(F.array(*[F.avg(F.col("u")[i]) for i in range(_DIMS)]).alias("v"))
     return c.withColumn("u", unit(F.col("v"))).select("cluster_id", F.transform("u", lambda x: F.round(x, 5)).alias("centroid"))
 
 
@@ -83,10 +86,28 @@ SELECT p.a, p.b, MAX(ROUND(list_inner_product(x.u, y.u), 6)) AS max_article_simi
 def max_article_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The most similar pair of articles across the two stories of every adjudicated pair."""
     x = read(spark, d, "cross_category_cluster_adjudications").filter("left_cluster_id <> right_cluster_id")
-    p = x.select(F.least("left_cluster_id", "right_cluster_id").alias("a"), F.greatest("left_cluster_id", "right_cluster_id").alias("b")).distinct()
+    return best_article_pairs(spark, d, x.select(F.least("left_cluster_id", "right_cluster_id").alias("a"), F.greatest("left_cluster_id", "right_cluster_id").alias("b")).distinct())
+
+
+#: Members of a story that are compared as one matrix; a larger story is several.
+MEMBER_BLOCK = 2_048
+
+
+def best_article_pairs(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    """(a, b, max_article_similarity) of pairs of stories with embedded members: one matrix product per pair of blocks."""
     m = read(spark, d, "cluster_articles").select("cluster_id", "article_id").distinct().join(_articles(spark, d), "article_id")
-    j = p.join(m.select(F.col("cluster_id").alias("a"), F.col("u").alias("x")), "a").join(m.select(F.col("cluster_id").alias("b"), F.col("u").alias("y")), "b")
-    return j.groupBy("a", "b").agg(F.max(F.round(dot(F.col("x"), F.col("y")), 6)).alias("max_article_similarity"))
+    m = m.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("cluster_id").orderBy("article_id")) - 1) / MEMBER_BLOCK))
+    packed = m.groupBy("cluster_id", "block").agg(F.flatten(F.collect_list("u")).alias("u"))
+    packed = materialize(packed, "members")
+    side = lambda c, v: packed.select(F.col("cluster_id").alias(c), F.col("u").alias(v))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            top = [float(np.round((np.asarray(x).reshape(-1, _DIMS) @ np.asarray(y).reshape(-1, _DIMS).T).max(), 6)) for x, y in zip(pdf.x, pdf.y)]
+            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "s": top})
+
+    j = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return j.mapInPandas(best, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("max_article_similarity"))
 
 
 _TOPICS = _S + """, pos AS (SELECT category_slug, i, AVG(u[i]) AS x FROM s, range(1, 65) t(i) WHERE category_slug IS NOT NULL GROUP BY 1, 2), topic AS (SELECT category_slug, list(x ORDER BY i) AS v FROM pos GROUP BY 1),
@@ -104,8 +125,8 @@ def _ranked_topics(spark: SparkSession, d: str, most: int = 4) -> DataFrame:
     Topics are packed into rows of at most about TOPIC_BLOCK vectors. With one such row ranking needs no shuffle; with
     more, each block's best are merged per article.
     """
-    pos = _stories(spark, d).filter("category_slug is not null").select("category_slug", F.posexplode("u").alias("i", "x")).groupBy("category_slug", "i").agg(F.avg("x").alias("x"))
-    topics = materialize(pos.groupBy("category_slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")), "topics")
+    mean = F.array(*[F.avg(F.col("u")[i]) for i in range(_DIMS)])
+    topics = materialize(_stories(spark, d).filter("category_slug is not null").groupBy("category_slug").agg(mean.alias("v")), "topics")
     n_blocks = max(1, -(-topics.count() // TOPIC_BLOCK))
     score = lambda t: F.struct((-F.round(cosine(F.col("u"), t["v"]), 6)).alias("c"), t["category_slug"].alias("slug"))
     out = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -96,12 +97,35 @@ def write_json_sink(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_rss(items: DataFrame, title: str, path: str, order: list) -> None:
-    """Items (column item) as one RSS 2.0 file. A feed holds a bounded number of items, so one partition writes it."""
+def deliver(messages: DataFrame, key: str, body: str, send: Callable[[str], int], attempts: int = 3) -> DataFrame:
+    """(key, status, attempts, error) of sending every message by an injected function that returns an HTTP status.
+
+    Statuses of 500 and more and failed calls are tried again; the last outcome is reported, never raised.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf[key], pdf[body]):
+                n, status, error = 0, None, None
+                while n < attempts and (status is None or status >= 500):
+                    n += 1
+                    try:
+                        status, error = send(text), None
+                    except Exception as e:
+                        status, error = None, f"{type(e).__name__}: {e}"[:200]
+                rows.append((k, status, n, error))
+            yield pd.DataFrame(rows, columns=[key, "status", "attempts", "error"]).astype({"status": "Int64"})
+
+    return messages.select(key, body).mapInPandas(run, f"{key} {messages.schema[key].dataType.simpleString()}, status long, attempts long, error string")
+
+
+def write_rss(items: DataFrame, title: str, path: str, order: list, most: int = 200) -> None:
+    """The first ``most`` items (column item) by ``order`` as one RSS 2.0 file, written by one partition."""
     from ..functions.text import escape_xml
 
     spark = items.sparkSession
     head = spark.range(1).select(F.lit(0).alias("pos"), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>'), escape_xml(F.lit(title)), F.lit("</title>")).alias("value"))
     tail = spark.range(1).select(F.lit(2**31 - 1).alias("pos"), F.lit("</channel></rss>").alias("value"))
-    body = items.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), F.col("item").alias("value"))
+    body = items.orderBy(*order).limit(most).select(F.row_number().over(Window.orderBy(*order)).alias("pos"), F.col("item").alias("value"))
     head.unionByName(body).unionByName(tail).repartition(1).sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)

@@ -5,7 +5,7 @@ All sinks are ``foreachBatch`` writers into versioned tables, so a replayed micr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -20,10 +20,26 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name}*")
 
 
+#: Time zones RFC 822 names, as offsets.
+RFC_ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+_RFC = r"^\s*(?:[A-Za-z]{3,9}\.?,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[a-z]*[\s-]+(\d{2}|\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([A-Za-z]{1,3}|[+-]\d{2}:?\d{2})?\s*$"
+
+
+def feed_time(c: Column) -> Column:
+    """The instant a feed states, in ISO 8601 or as RFC 822 writes it: weekday, seconds and century may lack, no zone is UTC."""
+    part = lambda i: F.regexp_extract(c, _RFC, i)
+    zones = F.create_map(*[F.lit(x) for kv in RFC_ZONES.items() for x in kv])
+    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(F.concat(F.when(part(3) < "50", "20").otherwise("19"), part(3)))
+    zone = F.when(part(7) == "", "+0000").when(part(7).rlike("^[+-]"), F.replace(part(7), F.lit(":"), F.lit(""))).otherwise(F.try_element_at(zones, F.upper(part(7))))
+    seconds = F.when(part(6) == "", "00").otherwise(part(6))
+    text = F.concat(year, F.lit(" "), F.initcap(F.lower(part(2))), F.lit(" "), F.lpad(part(1), 2, "0"), F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), seconds, F.lit(" "), zone)
+    return F.when(c.rlike(_RFC), F.try_to_timestamp(F.coalesce(text, F.lit("x")), F.lit("yyyy MMM dd HH:mm:ss xx"))).otherwise(F.try_to_timestamp(F.coalesce(c, F.lit("x"))))
+
+
 def normalise_items(items: DataFrame) -> DataFrame:
     """Feed items (guid, link, title, summary, content, author, published, updated: strings) as articles; '' becomes null."""
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    at = F.coalesce(*[F.try_to_timestamp(F.coalesce(blank(c), F.lit("x"))) for c in ("published", "updated")])
+    at = F.coalesce(*[feed_time(blank(c)) for c in ("published", "updated")])
     out = items.select(F.coalesce(blank("guid"), blank("link")).alias("guid"), blank("link").alias("canonical_url"), F.nullif(clean_text(F.col("title")), F.lit("")).alias("title"), blank("summary").alias("summary"), blank("content").alias("content"), blank("author").alias("author"), at.alias("published_at"))
     return out.withColumn("content_hash", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("guid", "canonical_url", "title", "published_at")]), 256))
 

@@ -71,3 +71,38 @@ def test_vectors(spark):
     assert (r[0].d, round(r[0].c, 9), r[0].u, r[0].ok) == (3.0, 0.6, [0.6, 0.8], True)
     assert r[1].c is None and r[1].u == [0.0, 0.0] and not r[1].ok and r[2].d is None and not r[2].ok
     assert spark.range(1).select(parse_vector(F.lit("[1,2.5]")), merge_centroid(F.array(F.lit(1.0), F.lit(0.0)), F.lit(1), F.array(F.lit(0.0), F.lit(1.0)))).first()[0] == [1.0, 2.5]
+
+
+def test_feed_times(spark):
+    from storyflow.streaming.ingest import feed_time
+
+    texts = ["Sun, 05 Oct 2025 01:00:00 GMT", "5 Oct 25 01:00 UT", "Sun, 05 Oct 2025 03:00:00 +0200", "04 Oct 2025 21:00:00 EDT", "2025-10-05T01:00:00Z", "Sunday, 05-Oct-25 01:00:00 GMT", "soon", "32 Oct 2025 01:00:00 GMT", "05 Oct 2025 01:00:00 XYZ", None, ""]
+    got = column(spark, texts, lambda c: F.unix_seconds(feed_time(c)))
+    assert got == [1759626000] * 6 + [None] * 5
+
+
+def test_settings(spark):
+    assert column(spark, [" 4 ", "x", None, ""], lambda c: T.as_number(c, 7)) == [4.0, 7.0, 7.0, 7.0]
+    assert column(spark, ["YES", "0", "?", None], lambda c: T.as_flag(c, True)) == [True, False, True, True]
+    assert column(spark, ["a, ,b", "", None], T.as_list) == [["a", "b"], [], []]
+    assert column(spark, ["a:1,b:x,a:3, c : 2 ,:5,d", "", None], T.as_limits) == [{"a": 3.0, "c": 2.0}, {}, {}]
+
+
+def test_nul_free_json(spark):
+    assert column(spark, [r'{"a\u0000":"\u0000x","b":["\\u0000","\\\u0000y"]}', None], T.strip_nul_json) == [r'{"a":"x","b":["\\u0000","\\y"]}', None]
+
+
+def test_strong_tokens(spark):
+    df = spark.createDataFrame([("ACME and NASA win", "3,000 US dollars, 12.5% and 5 pct; 3亿元, 40 GW."), (None, "5 %"), ("x", None)], "t string, s string")
+    got = [r[0] for r in df.select(T.strong_tokens(F.col("t"), F.col("s"))).collect()]
+    assert got[0] == ["ACME", "NASA", "3000 usd", "12.5 percent", "5 percent", "3 hundred million", "40 gigawatt"] and got[1:] == [None, None]
+
+
+def test_call_cost(spark):
+    df = spark.createDataFrame([(100, 40, 10), (100, 400, None), (None, None, 5)], "i long, c long, o long")
+    assert [round(r[0] * 1e6) for r in df.select(T.call_cost(F.col("i"), F.col("c"), F.col("o"), 3.0, 0.3, 15.0)).collect()] == [342, 30, 75]
+
+
+def test_expensive_columns_are_computed_once(spark):
+    df = T.once(spark.range(3), "w", F.split(F.concat(F.lit("a b "), F.col("id").cast("string")), " ")).filter("size(w) > 2").select("id", F.size("w").alias("n"))
+    assert [r.n for r in df.collect()] == [3, 3, 3] and df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

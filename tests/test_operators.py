@@ -96,6 +96,18 @@ def test_online_clusters_in_one_batch_equals_a_plain_walk(spark):
     assert many.count() == 40 and many.filter("not created and similarity < 0.6").count() == 0
 
 
+def test_online_clusters_in_small_batches_equals_a_plain_walk(spark):
+    """Few candidates and small batches: where the nearest may not be among them the batch ends, so nothing is lost."""
+    rng = np.random.default_rng(7)
+    vs = [v / np.linalg.norm(v) for v in rng.normal(size=(90, 3))]
+    vs[40:60] = [vs[3]] * 20
+    df = spark.createDataFrame([(i, "ab"[i % 2], v.tolist(), i // 3) for i, v in enumerate(vs)], "id long, grp string, vec array<double>, at long")
+    want = attach([(i, "ab"[i % 2], v) for i, v in enumerate(vs)], {}, {}, 0.8)
+    for partitions in (1, 5):
+        got = online_clusters(df.repartition(partitions), 0.8, k=2, batch_rows=30).orderBy("article_id").collect()
+        assert [(r.article_id, r.story_id, r.created) for r in got] == [(i, s, c) for i, s, _, c in want]
+
+
 def test_block_search(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(50, 4))

@@ -21,7 +21,7 @@ def test_parse_feeds(spark):
 
 
 def test_normalise_admit_and_stream(spark, tmp_path):
-    items = [("1", "https://a.example/1", "T", "2025-10-05T01:00:00Z"), ("1", "https://a.example/1", "T", "2025-10-05T01:00:00Z"), ("2", " ", "", "2025-10-05T01:00:00Z"), ("3", None, "late", "2025-01-01T00:00:00Z"), ("4", None, "x", "soon")]
+    items = [("1", "https://a.example/1", "T", "Sun, 05 Oct 2025 01:00:00 GMT"), ("1", "https://a.example/1", "T", "2025-10-05T01:00:00Z"), ("2", " ", "", "2025-10-05T01:00:00Z"), ("3", None, "late", "2025-01-01T00:00:00Z"), ("4", None, "x", "soon")]
     df = spark.createDataFrame([(g, u, t, None, None, None, p, None) for g, u, t, p in items], "guid string, link string, title string, summary string, content string, author string, published string, updated string")
     since, until = datetime(2025, 10, 1), datetime(2025, 10, 8)
     assert [r.guid for r in admit(normalise_items(df), since, until).collect()] == ["1", "1"]
@@ -88,3 +88,50 @@ def test_model_calls(spark):
     got = {r.id: r.result for r in cached_results(df, "text", cache, "m", lambda texts: [[float(len(t))] for t in texts]).collect()}
     assert got == {1: [9.0], 2: [1.0], 3: [1.0], 4: [0.0]}
     assert spark.range(1).select(embedding_text(F.lit("T"), F.lit(" "), F.lit("c" * 900))).first()[0] == "T\n" + "c" * 500
+
+
+def test_structured_answers(spark):
+    from storyflow.operators.model_calls import ask_structured, valid_answer
+
+    schema = {"n": int, "ok": bool}
+    assert valid_answer('x {"n": 1, "ok": true, "more": 2} y', schema) == ({"n": 1, "ok": True}, None)
+    assert [valid_answer(t, schema)[1] for t in (None, "none", "[1]", '{"n": 1}', '{"n": true, "ok": true}')] == ["missing", "no JSON object", "no JSON object", "ok missing", "n of another type"]
+    calls = spark.createDataFrame([(1, "good"), (2, "flaky"), (3, "bad"), (4, None), (1, "good")], "id long, t string")
+
+    def model(texts):
+        if len(texts) > 1:
+            return ['{"n": 1, "ok": true}' if t == "good" else None for t in texts][:2]  # leaves some out
+        if texts[0] == "bad":
+            raise ConnectionError("gone")
+        return ['{"n": 2, "ok": false}']
+
+    got = {r.id: (r.answer, r.attempts, r.error) for r in ask_structured(calls, "id", "t", model, schema).coalesce(1).collect()}
+    assert got[3][0] is None and got[3][1] == 3 and "gone" in got[3][2] and got[2][0] == '{"n": 2, "ok": false}' and got[4][0] is not None
+    rescued = ask_structured(calls, "id", "t", model, schema, fallback=lambda texts: ['{"n": 9, "ok": true}'])
+    assert {r.id for r in rescued.filter("answer is null").collect()} == set()
+    assert ask_structured(calls.limit(0), "id", "t", model, schema).count() == 0
+
+
+def test_deliver(spark):
+    from storyflow.sources.feeds import deliver
+
+    seen = spark.createDataFrame([(1, "ok"), (2, "busy"), (3, "boom"), (4, "no")], "id long, body string")
+
+    def send(text):
+        if text == "boom":
+            raise TimeoutError("slow")
+        return {"ok": 200, "busy": 503, "no": 404}[text]
+
+    got = {r.id: (r.status, r.attempts, r.error) for r in deliver(seen, "id", "body", send).collect()}
+    assert got == {1: (200, 1, None), 2: (503, 3, None), 3: (None, 3, "TimeoutError: slow"), 4: (404, 1, None)}
+
+
+def test_rows_that_break_rules_are_told(spark, tmp_path):
+    from storyflow.plans.rollups import rejected_rows
+    from storyflow.sources.schema import schema
+
+    spark.createDataFrame([(1, 1, 0.5, "member", None), (1, 2, 2.0, "member", None), (1, 3, 0.5, "chief", None), (1, 4, None, None, None)], schema("cluster_articles")).write.parquet(f"{tmp_path}/cluster_articles.parquet")
+    x = schema("cross_category_cluster_adjudications")
+    row = {f.name: None for f in x} | {"adjudication_id": 9, "decision": "distinct", "confidence": 1.5}
+    spark.createDataFrame([tuple(row[f.name] for f in x)], x).write.parquet(f"{tmp_path}/cross_category_cluster_adjudications.parquet")
+    assert sorted((r.article_id, r.broken) for r in rejected_rows(spark, str(tmp_path)).collect()) == [(2, "similarity"), (3, "role"), (4, "role,similarity"), (9, "confidence")]
