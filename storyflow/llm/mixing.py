@@ -3,8 +3,8 @@
 Every document of a listed source gets a rate r = min(cap, exp(lambda_s * t)), the exponential tilt of the uniform
 design by its size t (tokens over the source's mean), with the rates closest to 1 in relative entropy that meet
 the source's token target. The dual is convex with one unknown per source; Newton steps use sums over
-the size histogram of each source (documents of one source and size have one rate), aggregated by
-Spark each round, so only one row per listed source reaches the driver. Rates are rounded to whole copies by
+the size histogram of each source (documents of one source and size have one rate); the state of all sources is a table,
+so a round is one join and aggregation, and only counts reach the driver. Rates are rounded to whole copies by
 systematic sampling within salted cells of about ``cell_docs`` documents of a source, which keeps every cell's copies within one of their
 expected number.
 
@@ -18,7 +18,6 @@ smaller cap; no target at all gives an empty mixture.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, superseded
 
 #: Where the vocabularies of public tokenizers lie; a parameter everywhere.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -35,21 +34,28 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(path: str, vocabulary: bytes):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("counted", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id``, ``keep`` and ``n_tokens`` of the whole text (0 for null and empty)."""
+def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[str], tokenizer: str | None = None) -> DataFrame:
+    """``doc_id``, ``keep`` and ``n_tokens`` of the whole text (0 for null and empty).
+
+    ``tokenizer`` is the path of a vocabulary file on the driver; without it ``spark.storyflow.tokenizer`` names one. The file,
+    about a megabyte, is broadcast, so executors need no copy.
+    """
+    spark = docs.sparkSession
+    path = tokenizer or spark.conf.get("spark.storyflow.tokenizer", TOKENIZER)
+    with open(path, "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(tokenizer)
+        enc = _encoding(path, vocabulary.value)
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf[text]]
             yield pdf.drop(columns=[text]).assign(n_tokens=pd.Series(n, dtype="int64", index=pdf.index))
@@ -59,78 +65,64 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[str], token
     return kept.mapInPandas(count, schema)
 
 
-def _solve(histogram: DataFrame, goals: dict[str, tuple[float, int]], means: dict[str, float], rounds: int = 60, tolerance: float = 1e-9) -> dict[str, float]:
-    """lambda per source by safeguarded Newton steps on the dual; each round is one aggregation of the histogram."""
-    spark = histogram.sparkSession
-    lam = {s: 0.0 for s in goals}
-    low, high = {s: -700.0 for s in goals}, {s: 700.0 for s in goals}
-    left = set(goals)
+#: What stands for an endless lambda: every document at its cap, or none at all.
+_ALL = 1e6
+
+
+def _solve(histogram: DataFrame, goals: DataFrame, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """``goals`` (source, goal, mean, cap, lam; null where it is to be found) with ``lam``, by safeguarded Newton steps on the dual.
+
+    A round is one aggregation of the histogram joined with the state of all sources; only the number of open sources reaches the driver.
+    """
+    state = goals.select("*", F.col("lam").isNull().alias("open"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high")).withColumn("lam", F.coalesce("lam", F.lit(0.0)))
+    state = materialize(state, "dual")
     for _ in range(rounds):
-        if not left:
+        if state.filter("open").isEmpty():
             break
-        table = spark.createDataFrame([(s, lam[s], means[s], float(goals[s][1])) for s in left], "source string, lam double, mean double, cap double")
         t = F.col("n_tokens") / F.col("mean")
-        rate = F.when(F.col("lam") * t >= F.log("cap"), F.col("cap")).otherwise(F.exp(F.col("lam") * t))
-        free = F.when(F.col("lam") * t < F.log("cap"), F.exp(F.col("lam") * t)).otherwise(0.0)
-        sums = histogram.join(F.broadcast(table), "source").groupBy("source").agg(F.sum(rate * F.col("n_tokens") * F.col("n")).alias("got"), F.sum(free * t * F.col("n_tokens") * F.col("n")).alias("slope")).collect()
-        for r in sums:
-            s, miss = r["source"], r["got"] - goals[r["source"]][0]
-            if abs(miss) <= tolerance * max(goals[s][0], 1.0):
-                left.discard(s)
-                continue
-            if miss > 0:
-                high[s] = lam[s]
-            else:
-                low[s] = lam[s]
-            step = lam[s] - miss / r["slope"] if r["slope"] > 0 else math.nan
-            lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-            if high[s] - low[s] < 1e-13:
-                left.discard(s)
-    return lam
+        tilt = F.col("lam") * t
+        rate = F.when(tilt >= F.log("cap"), F.col("cap")).otherwise(F.exp(tilt))
+        free = F.when(tilt < F.log("cap"), F.exp(tilt) * t).otherwise(0.0)
+        sums = histogram.join(state.filter("open").select("source", "lam", "mean", "cap"), "source").groupBy("source").agg(F.sum(rate * F.col("n_tokens") * F.col("n")).alias("got"), F.sum(free * F.col("n_tokens") * F.col("n")).alias("slope"))
+        both = state.join(sums, "source", "left").withColumn("miss", F.col("got") - F.col("goal"))
+        met = F.abs("miss") <= tolerance * F.greatest("goal", F.lit(1.0))
+        both = both.withColumns({"high": F.when(F.col("open") & ~met & (F.col("miss") > 0), F.col("lam")).otherwise(F.col("high")), "low": F.when(F.col("open") & ~met & (F.col("miss") <= 0), F.col("lam")).otherwise(F.col("low"))})
+        step = F.col("lam") - F.try_divide("miss", "slope")
+        moved = F.when((step > F.col("low")) & (step < F.col("high")), step).otherwise((F.col("low") + F.col("high")) / 2)
+        closed = met | (F.col("high") - F.col("low") < 1e-13)
+        new = both.select("source", "goal", "mean", "cap", F.when(F.col("open") & ~met, moved).otherwise(F.col("lam")).alias("lam"), (F.col("open") & ~closed).alias("open"), "low", "high")
+        new = materialize(new, "dual")
+        superseded(state)
+        state = new
+    return state.select("source", "goal", "mean", "cap", "lam")
 
 
 class Mixture:
     """Token counts of the listed sources, the balanced rates and the copies drawn from them."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = TOKENIZER, cell_docs: int = 50_000):
-        self.spark, self.doc_id, self.cell_docs = docs.sparkSession, doc_id, cell_docs
+    def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, cell_docs: int = 50_000):
+        self.spark, self.doc_id = docs.sparkSession, doc_id
         listed = targets.filter("source is not null and target_share is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
-        self.targets = listed.collect()  # one row per listed source
-        names = self.spark.createDataFrame([(r["source"],) for r in self.targets], "_listed string")
-        own = docs.select(doc_id, F.col(source).alias("source"), text).join(F.broadcast(names), F.col("source") == F.col("_listed"), "left_semi")
+        total = listed.agg(F.sum("target_share")).first()[0] or 1.0
+        #: (source, target_share, max_repeats), shares that sum up to one
+        self.targets = materialize(listed.withColumn("target_share", F.col("target_share") / total), "targets")
+        own = docs.select(doc_id, F.col(source).alias("source"), text).join(self.targets.select("source"), "source", "left_semi")
         self.sized = materialize(token_counts(own, doc_id, text, ["source"], tokenizer), "tokens")
-        self.supply = {r["source"]: (r["n"], r["t"]) for r in self.sized.filter("n_tokens > 0").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
-        self.wanted = sum(t for _, t in self.supply.values())
-        self.rates = self._rates()
-
-    def _rates(self) -> dict[str, tuple[float, float, int]]:
-        """source -> (lambda, mean size, cap); an infinite lambda gives every document the cap."""
-        total = sum(r["target_share"] for r in self.targets) or 1.0
-        out, goals, means = {}, {}, {}
-        for r in self.targets:
-            s, cap = r["source"], max(int(r["max_repeats"] if r["max_repeats"] is not None else 1), 0)
-            if s not in self.supply:
-                continue
-            n, tokens = self.supply[s]
-            goal = r["target_share"] / total * self.wanted
-            means[s] = tokens / n
-            if goal >= cap * tokens or cap == 0:
-                out[s] = (math.inf, means[s], cap)
-            elif goal <= 0:
-                out[s] = (-math.inf, means[s], cap)
-            else:
-                goals[s] = (goal, cap)
         histogram = materialize(self.sized.filter("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "sizes")
-        for s, lam in _solve(histogram, goals, means).items():
-            out[s] = (lam, means[s], goals[s][1])
-        return out
+        supply = histogram.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"))
+        self.wanted = supply.agg(F.sum("tokens")).first()[0] or 0
+        cap = F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).cast("double")
+        goals = self.targets.join(supply, "source").select("source", (F.col("target_share") * self.wanted).alias("goal"), (F.col("tokens") / F.col("docs")).alias("mean"), cap.alias("cap"), "tokens", F.ceil(F.col("docs") / cell_docs).alias("cells"))
+        lam = F.when((F.col("goal") >= F.col("cap") * F.col("tokens")) | (F.col("cap") == 0), F.lit(_ALL)).when(F.col("goal") <= 0, F.lit(-_ALL))
+        goals = materialize(goals.withColumn("lam", lam), "goals")
+        #: (source, lam, mean, cap, cells) of every listed source with documents
+        self.rates = materialize(_solve(histogram, goals.select("source", "goal", "mean", "cap", "lam")).join(goals.select("source", "cells"), "source").select("source", "lam", "mean", "cap", "cells"), "rates")
 
     def copies(self) -> DataFrame:
         """(doc_id, source, n_tokens, rate, copies) of every document of a listed source, also those without a copy."""
-        table = self.spark.createDataFrame([(s, lam if math.isfinite(lam) else math.copysign(1e6, lam), mean, float(cap), -(-self.supply[s][0] // self.cell_docs)) for s, (lam, mean, cap) in self.rates.items()], "source string, lam double, mean double, cap double, cells long")
-        rows = self.sized.join(F.broadcast(table), "source", "left")
+        rows = self.sized.join(self.rates, "source", "left")
         tilt = F.col("lam") * F.col("n_tokens") / F.col("mean")
-        rate = F.when((F.col("n_tokens") > 0) & F.col("cap").isNotNull(), F.when(tilt >= F.log("cap"), F.col("cap")).otherwise(F.exp(tilt))).otherwise(0.0)
+        rate = F.when((F.col("n_tokens") > 0) & (F.col("cap") > 0), F.when(tilt >= F.log("cap"), F.col("cap")).otherwise(F.exp(tilt))).otherwise(0.0)
         rows = rows.select(self.doc_id, "source", "n_tokens", rate.alias("rate"), F.pmod(F.xxhash64(self.doc_id), F.coalesce("cells", F.lit(1))).alias("cell"))
         # systematic rounding of token mass within a cell: sizes in order, so that neighbours replace one another
         order = Window.partitionBy("source", "cell").orderBy("n_tokens", F.xxhash64(self.doc_id, F.lit(5)), self.doc_id)
@@ -143,8 +135,7 @@ class Mixture:
     def shares(self) -> DataFrame:
         """One row per target: wanted and reached tokens and shares, documents used, most copies of one document."""
         got = self.copies().groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.sum(F.when(F.col("copies") > 0, 1).otherwise(0)).alias("docs_used"), F.max("copies").alias("most_copies"))
-        total = sum(r["target_share"] for r in self.targets) or 1.0
-        want = self.spark.createDataFrame([(r["source"], r["target_share"] / total, int(round(r["target_share"] / total * self.wanted)), r["max_repeats"]) for r in self.targets], "source string, target_share double, target_tokens long, max_repeats int")
-        rows = want.join(got, "source", "left").fillna(0, ["tokens", "docs_used", "most_copies"])
-        reached = rows.agg(F.sum("tokens").alias("all_tokens"))
+        want = self.targets.select("source", "target_share", F.round(F.col("target_share") * self.wanted).cast("long").alias("target_tokens"), "max_repeats")
+        rows = materialize(want.join(got, "source", "left").fillna(0, ["tokens", "docs_used", "most_copies"]), "reached")
+        reached = rows.agg(F.sum("tokens").alias("all_tokens"))  # one row
         return rows.crossJoin(F.broadcast(reached)).select("source", "target_share", "target_tokens", "max_repeats", "tokens", F.round(F.try_divide("tokens", F.lit(self.wanted)), 6).alias("share_of_wanted"), F.round(F.try_divide("tokens", "all_tokens"), 6).alias("actual_share"), "docs_used", "most_copies")
