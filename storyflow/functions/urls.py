@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 #: Parameters that only track a reader.
 TRACKING_PARAM = "^(utm_.*|fbclid|gclid|mc_cid|mc_eid)$"
 
@@ -80,16 +87,22 @@ def address_key(c: Column) -> Column:
     slash of the path, fragment, order of parameters, tracking parameters. An address with neither
     path nor parameters (a front page), a null and a blank give null.
     """
-    u = F.regexp_replace(F.lower(c), r"^\s+|\s*(#.*)?$", "")
-    u = F.when(F.startswith(u, F.lit("http://")), F.regexp_replace(u, r"^http://([^/?]*?):80(?=[/?]|$)", "http://$1"))\
-        .when(F.startswith(u, F.lit("https://")), F.regexp_replace(u, r"^https://([^/?]*?):443(?=[/?]|$)", "https://$1")).otherwise(u)
-    u = F.regexp_replace(u, r"^([a-z][a-z0-9+.-]*:)?//", "")
-    host = F.regexp_replace(F.regexp_extract(u, r"^([^/?]*)", 1), r"^(www|m)\.", "")
-    path = F.regexp_replace(_decode(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1)), "/$", "")
-    query = F.regexp_extract(u, r"\?(.*)$", 1)
-    params = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_replace(p, "=.*$", "").rlike(TRACKING_PARAM))
-    params = F.array_join(F.array_sort(F.transform(params, _decode)), "&")
-    return F.when((host != "") & ((path != "") | (params != "")), F.concat(host, path, F.when(params != "", F.concat(F.lit("?"), params)).otherwise("")))
+    def bare(u: Column) -> Column:
+        """Without default port and scheme."""
+        plain = F.when(F.startswith(u, F.lit("http://")), F.regexp_replace(u, r"^http://([^/?]*?):80(?=[/?]|$)", "http://$1")).when(F.startswith(u, F.lit("https://")), F.regexp_replace(u, r"^https://([^/?]*?):443(?=[/?]|$)", "https://$1")).otherwise(u)
+        return F.regexp_replace(plain, r"^([a-z][a-z0-9+.-]*:)?//", "")
+
+    def parts(u: Column) -> Column:
+        params = F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.regexp_replace(p, "=.*$", "").rlike(TRACKING_PARAM))
+        return F.struct(
+            F.regexp_replace(F.regexp_extract(u, r"^([^/?]*)", 1), r"^(www|m)\.", "").alias("host"), let(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1), lambda p: F.regexp_replace(_decode(p), "/$", "")).alias("path"),
+            F.array_join(F.array_sort(F.transform(params, _decode)), "&").alias("params"),
+        )
+
+    def key(p: Column) -> Column:
+        return F.when((p["host"] != "") & ((p["path"] != "") | (p["params"] != "")), F.concat(p["host"], p["path"], F.when(p["params"] != "", F.concat(F.lit("?"), p["params"])).otherwise("")))
+
+    return let(F.regexp_replace(F.lower(c), r"^\s+|\s*(#.*)?$", ""), lambda u: let(bare(u), lambda v: let(parts(v), key)))
 
 
 #: Texts put where an identifier was missing.
