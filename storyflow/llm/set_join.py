@@ -144,7 +144,7 @@ class _Batch:
             keep = lev > 0
             key, rec, lev, kind, hot = key[keep], rec[keep], lev[keep], kind[keep], hot[keep]
         flags = kind + lev * 2 + (8 if index else 0)
-        return pd.DataFrame({"key": key, "rec": rec, "how": flags.astype(np.uint8), "hot": hot})
+        return pd.DataFrame({"key": key, "rec": rec.astype(np.int32), "how": flags.astype(np.uint8), "hot": np.minimum(hot, 2**31 - 1).astype(np.int32)})
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -221,7 +221,7 @@ def _candidates(blobs: pd.DataFrame, threshold: Fraction, block: int = 1_000_000
             yield pd.DataFrame({"a": np.minimum(ids[p], ids[x]), "b": np.maximum(ids[p], ids[x])}).drop_duplicates()
 
 
-def _gathered(batches: Iterator[pd.DataFrame], words_at_once: int = 1_500_000) -> Iterator[pd.DataFrame]:
+def _gathered(batches: Iterator[pd.DataFrame], words_at_once: int = 900_000) -> Iterator[pd.DataFrame]:
     """Arrow batches joined to a bounded size, so that blobs hold many keys however many buckets there are."""
     held, n = [], 0
     for pdf in batches:
