@@ -116,6 +116,29 @@ def mentions(c: Column, term: str) -> Column:
     return F.contains(c, F.lit(term))
 
 
+def mentions_any(c: Column, terms) -> Column:
+    """True where at least one of the terms is mentioned."""
+    hit = F.lit(False)
+    for term in terms:
+        hit |= mentions(c, term)
+    return hit
+
+
+def guard(c: Column, required=(), excluded=(), excluded_unless=()) -> Column:
+    """Whether lower-case text passes a topic's lexical guard.
+
+    Of every group of ``required`` a term must be mentioned and none of ``excluded``; for each (terms, rescue) of ``excluded_unless``
+    none of the terms, unless a term of the rescue is mentioned too. Null gives null.
+    """
+    ok = c.isNotNull() | F.lit(None).cast("boolean")
+    for group in required:
+        ok &= mentions_any(c, group)
+    ok &= ~mentions_any(c, excluded)
+    for terms, rescue in excluded_unless:
+        ok &= ~mentions_any(c, terms) | mentions_any(c, rescue)
+    return ok
+
+
 # Words too common to tell stories apart.
 STOPWORDS = ("about", "after", "again", "amid", "before", "from", "have", "into", "more", "over", "says", "that", "their", "there", "they", "this", "under", "were", "what", "when", "with", "will")
 

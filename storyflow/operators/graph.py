@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, superseded
 
 
 def least_labels(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def least_labels(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> Data
         raised = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = raised.groupBy("u").agg(F.min("v").alias("m"))
         pairs = raised.join(low, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
-        edges = materialize(pairs.filter("u != v").distinct(), "edges")
+        old, edges = edges, materialize(pairs.filter("u != v").distinct(), "edges")
+        superseded(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("group_id")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("group_id")).distinct())

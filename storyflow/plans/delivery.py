@@ -189,7 +189,7 @@ def address_safety(spark: SparkSession, d: str) -> DataFrame:
     return a.select("article_id", url_safety(url).alias("safety"))
 
 
-@C.add("""SELECT feed_id, COALESCE(TRY_CAST(length(feed_id) AS DOUBLE), 5.0) AS amount, length(feed_id) % 2 = 0 AS flag, [feed_id, 'b'] AS names, CASE WHEN length(feed_id) % 2 = 0 THEN 2.0 ELSE 1.0 END AS limit_a FROM (SELECT DISTINCT feed_id FROM removed_failed_feeds)""")
+@C.add("""SELECT feed_id, CAST(length(feed_id) AS DOUBLE) AS amount, length(feed_id) % 2 = 0 AS flag, [feed_id, 'b'] AS names, CASE WHEN length(feed_id) % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS limit_a FROM (SELECT DISTINCT feed_id FROM removed_failed_feeds)""")
 def settings_as_text(spark: SparkSession, d: str) -> DataFrame:
     """Settings given as text: numbers, flags, lists and limits by name."""
     f = read(spark, d, "removed_failed_feeds").select("feed_id").distinct().withColumn("n", F.length("feed_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.late_events import HOUR_MS, LambdaViews, arrivals
-from ..operators.timestamps import ntz_ms, resolve_instants
+from ..operators.timestamps import CANONICAL, ntz_ms, resolve_instants
 from ..session import materialize
 
 FIELDS = ["published_at", "first_seen_at"]
@@ -27,6 +27,24 @@ def p2_status(spark: SparkSession, d: str) -> DataFrame:
     return _instants(spark, d).groupBy("source", "field", "status").agg(F.count("*").alias("n"))
 
 
+#: ISO 8601 with a numeric offset or Z, in any precision: the forms SQL can read as well.
+CLEAR = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})$"
+
+
+def p2_clear(spark: SparkSession, d: str) -> DataFrame:
+    """The values of ``p2_found`` whose text is ISO 8601 with its own offset."""
+    a = spark.read.parquet(f"{d}/articles.parquet").select("article_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])))
+    return p2_found(spark, d).join(a.filter(F.col("text").rlike(CLEAR)).select("article_id", "field"), ["article_id", "field"]).select("article_id", "field", "utc_ms")
+
+
+_CLEAR_SQL = r"""
+WITH v AS (SELECT article_id, 'published_at' AS field, published_at AS t FROM articles UNION ALL SELECT article_id, 'first_seen_at', first_seen_at FROM articles),
+x AS (SELECT article_id, field, t, regexp_extract(t, '^(\d{4}-\d{2}-\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?(?:Z|([+-])(\d{2}):?(\d{2}))$', ['d', 'h', 'm', 's', 'f', 'sign', 'oh', 'om']) AS p FROM v
+ WHERE regexp_full_match(t, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})') AND NOT regexp_full_match(t, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z')),
+n AS (SELECT article_id, field, TRY_CAST(p.d AS DATE) AS day, p.h::INT AS h, p.m::INT AS m, COALESCE(TRY_CAST(p.s AS INT), 0) AS s, TRY_CAST(substr(rpad(p.f, 3, '0'), 1, 3) AS INT) AS ms, CASE WHEN p.sign = '-' THEN -1 ELSE 1 END * (COALESCE(TRY_CAST(p.oh AS INT), 0) * 60 + COALESCE(TRY_CAST(p.om AS INT), 0)) AS off FROM x)
+SELECT DISTINCT article_id, field, CAST(((day - DATE '1970-01-01') * 86400 + h * 3600 + m * 60 + s - off * 60) AS BIGINT) * 1000 + COALESCE(ms, 0) AS utc_ms FROM n WHERE day IS NOT NULL AND h < 24 AND m < 60 AND s < 60"""
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     known = _instants(spark, d).filter("utc_ms is not null")
     r = known.groupBy("article_id", F.col("source").alias("source_host")).agg(*[F.max(F.when(F.col("field") == f, F.col("utc_ms"))).alias(m) for f, m in zip(FIELDS, ("event_ms", "seen_ms"))])
@@ -78,4 +96,19 @@ def p1_hourly(spark: SparkSession, d: str) -> DataFrame:
     return _views(log).serve().select(F.col("key").alias("source_host"), _hour("period").alias("period_hour"), "provisional_n", "n", "frozen")
 
 
-QUERIES = {"p1_found": p1_found, "p1_hourly": p1_hourly, "p2_found": p2_found, "p2_status": p2_status}
+def p1_clear(spark: SparkSession, d: str) -> DataFrame:
+    """Corrected hourly counts per source over the articles both of whose times are canonical already: what SQL can tell as well."""
+    ms = lambda f: F.unix_millis(F.try_to_timestamp(F.col(f)))
+    a = spark.read.parquet(f"{d}/articles.parquet").filter(F.col("source_host").isNotNull() & F.col("published_at").rlike(CANONICAL) & F.col("first_seen_at").rlike(CANONICAL))
+    log = materialize(arrivals(a.select(F.col("source_host").alias("key"), ms("published_at").alias("event_ms"), ms("first_seen_at").alias("seen_ms")), "event_ms", "seen_ms"), "arrivals")
+    return _views(log).serve().select(F.col("key").alias("source_host"), _hour("period").alias("period_hour"), "provisional_n", "n", "latest_ms")
+
+
+_CLEAR_HOURS_SQL = r"""
+WITH a AS (SELECT source_host, epoch_ms(try_strptime(published_at, '%Y-%m-%dT%H:%M:%S.%gZ')) AS e, epoch_ms(try_strptime(first_seen_at, '%Y-%m-%dT%H:%M:%S.%gZ')) AS s FROM articles
+ WHERE source_host IS NOT NULL AND regexp_full_match(published_at, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z') AND regexp_full_match(first_seen_at, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z')),
+l AS (SELECT source_host, e, e // 3600000 AS period, s - (e // 3600000 + 1) * 3600000 AS lag FROM a WHERE e IS NOT NULL AND s IS NOT NULL)
+SELECT source_host, strftime(make_timestamp(period * 3600000000), '%Y-%m-%dT%H') AS period_hour, COUNT(*) FILTER (lag <= 2 * 3600000) AS provisional_n, COUNT(*) AS n, MAX(e) AS latest_ms FROM l WHERE lag <= 72 * 3600000 GROUP BY source_host, period"""
+
+QUERIES = {"p1_clear": p1_clear, "p1_found": p1_found, "p1_hourly": p1_hourly, "p2_found": p2_found, "p2_clear": p2_clear, "p2_status": p2_status}
+ORACLE = {"p1_clear": _CLEAR_HOURS_SQL, "p2_clear": _CLEAR_SQL}

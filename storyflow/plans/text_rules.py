@@ -87,10 +87,10 @@ def rss_groups(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cluster_id", F.concat(F.lit("<item><title>"), T.escape_xml(F.col("title")), F.lit(" ("), F.col("n").cast("string"), F.lit(")</title><description><ul>"), F.col("body"), F.lit("</ul></description></item>")).alias("item"))
 
 
-#: Guard rule of a topic: all required groups (one term each), no excluded term.
+#: Guard rules of the topics in these texts, parameters of ``guard``.
 GUARDS = {
-    "energy": {"required": (("mill", "plant", "strom", "hydroelectric", "photovoltaic"), ("price", "shortage", "concessions", "audit")), "excluded": ("bakery",)},
-    "transport": {"required": (("tram", "bike", "car", "ferry", "bus"),), "excluded": ("school", "fin")},
+    "energy": {"required": (("mill", "plant", "strom", "hydroelectric", "photovoltaic"), ("price", "shortage", "concessions", "audit")), "excluded": ("bakery",), "excluded_unless": ()},
+    "transport": {"required": (("tram", "bike", "car", "ferry", "bus"),), "excluded": ("fin",), "excluded_unless": ((("school",), ("tram", "ferry")),)},
 }
 
 
@@ -99,27 +99,16 @@ def _guard_sql(term: str) -> str:
 
 
 def _topic_sql(rule: dict) -> str:
-    groups = " AND ".join("(" + " OR ".join(map(_guard_sql, g)) + ")" for g in rule["required"])
-    return f"({groups}) AND NOT (" + " OR ".join(map(_guard_sql, rule["excluded"])) + ")"
+    either = lambda terms: "(" + " OR ".join(map(_guard_sql, terms)) + ")"
+    tests = [either(g) for g in rule["required"]] + ["NOT " + either(rule["excluded"])] + [f"(NOT {either(t)} OR {either(r)})" for t, r in rule["excluded_unless"]]
+    return " AND ".join(tests)
 
 
 @C.add("WITH x AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS topic FROM x WHERE {_topic_sql(r)}" for k, r in GUARDS.items()))
 def guard_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Documents a topic's lexical guard lets pass: every required group hit, no excluded term; short terms stand alone."""
+    """Documents a topic's lexical guard lets pass: every required group hit, no excluded term, none excluded unless rescued; short terms stand alone."""
     x = read(spark, d, "documents").filter("text is not null").select("doc_id", F.lower("text").alias("t"))
-
-    def passes(rule):
-        ok = F.lit(True)
-        for group in rule["required"]:
-            hit = F.lit(False)
-            for term in group:
-                hit |= T.mentions(F.col("t"), term)
-            ok &= hit
-        for term in rule["excluded"]:
-            ok &= ~T.mentions(F.col("t"), term)
-        return ok
-
-    topics = F.filter(F.array(*[F.when(passes(r), F.lit(k)) for k, r in GUARDS.items()]), lambda k: k.isNotNull())
+    topics = F.filter(F.array(*[F.when(T.guard(F.col("t"), **r), F.lit(k)) for k, r in GUARDS.items()]), lambda k: k.isNotNull())
     return x.select("doc_id", F.explode(topics).alias("topic"))
 
 
