@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import least_labels
 from ..session import materialize
 
 
@@ -45,27 +46,6 @@ def _peel(edges: DataFrame, start, max_levels: int) -> tuple[DataFrame, bool]:
     return seen, False
 
 
-def _propagate(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(v, label) of all vertices of ``edges`` (each link once, u > v): label is the least vertex of the component."""
-    before = None
-    for _ in range(max_rounds):
-        # large step: every larger neighbour is linked to the least of the neighbourhood
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small step: the least smaller neighbour is linked to the others and to the vertex itself
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small_min, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = materialize(linked.filter("u != v").distinct(), "components")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"labels did not settle within {max_rounds} rounds")
-    return edges.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(edges.select(F.col("v"), F.col("v").alias("label")).distinct())
-
-
 def connected_groups(links: DataFrame, left: str, right: str, max_levels: int = 12) -> DataFrame:
     """(group_id, member) for every record with a link; ``group_id`` is the least member of the group."""
     a, b = F.col(left), F.col(right)
@@ -86,7 +66,7 @@ def connected_groups(links: DataFrame, left: str, right: str, max_levels: int =
         m2 = m1.join(flag.withColumn("_in_v", F.lit(True)), F.col("v") == F.col("_g"), "left").drop("_g")
         cu, cv = F.when(F.col("_in_u"), F.lit(root)).otherwise(F.col("u")), F.when(F.col("_in_v"), F.lit(root)).otherwise(F.col("v"))
         rest = m2.select(F.greatest(cu, cv).alias("u"), F.least(cu, cv).alias("v")).filter("u != v").distinct()
-    labels = _propagate(materialize(rest, "rest"))
+    labels = least_labels(rest, "u", "v").select(F.col("vertex").alias("v"), F.col("group_id").alias("label"))
     if not ended:
         top = labels.filter(F.col("v") == F.lit(root)).select("label").collect()
         root_label = top[0][0] if top else root
