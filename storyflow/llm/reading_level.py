@@ -10,8 +10,8 @@ the second graph is over their combination; it is continuous, as a document lies
 
 Words of a document are counted once and stored packed, some hundred documents a row with a dictionary of their own. A round
 sends the sums of each dictionary to the partition of its words, merges them there and sends the means back: a
-word in every document is one entry a row, never a hot key. A round of the second graph is one aggregation over all documents
-to at most ``HUBS`` sums. Only counts and the largest change of a round reach the driver.
+word in every document is one entry a row, never a hot key. A round of the second graph is one pass over all documents, which adds them up
+next to the data; only the ``HUBS`` means (some 6,000 numbers, whatever the number of documents) pass through the driver.
 
 Ungraded documents weigh ``TRUST`` of a graded one in a mean, so the grades decide where there are some.
 
@@ -49,26 +49,35 @@ _SENTENCE_END = r"[.!?…][\"”»“’)]*(?:\s|$)"
 _ITEM = r"^\s*(?:[*•·#+|-]|\d{1,3}\))\s|\t|\|\s*$|^\s*[\w.]+\s*=|\w\([^)]*\)\s*[;{]\s*$|[{}]\s*;?\s*$"
 #: All of a paragraph up to its last end mark; a capital with at most one letter after it is an abbreviation.
 _LAST_END = r"^(.*(?:\p{L}{3}|(?<!\p{L})\p{Ll}{1,2}|\p{N})[\"”»“’)]*[.!?…][\"”»“’)]*)\s"
-_ENDS = r"[.!?…][\"”»“’)]*\s*$"
 
 
-def _paragraphs(text: Column) -> Column:
-    """Lines of a text, those that continue a sentence joined to the one before.
+def _ends(x: Column) -> Column:
+    """A line that ends as a sentence, read from its end."""
+    return F.reverse(x).rlike(r"^\s*[\"”»“’)]*[.!?…]")
+
+
+def _lines(text: Column) -> Column:
+    """Lines with what is asked of each more than once."""
+    return F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.struct(x.alias("t"), _ends(x).alias("ends"), x.rlike(_ITEM).alias("item"), (F.trim(x) == "").alias("blank")))
+
+
+def _paragraphs(lines: Column) -> Column:
+    """The text of ``_lines``, lines that continue a sentence joined to the one before.
 
     A line continues the one before if that has no end mark, neither is blank or has the shape of an item, and the one
     before is no headline: the first line of its paragraph, without any mark, before a capital, and so short
     that the next word would have fitted into it.
     """
-    lines = F.split(text, r"\r\n|\r|\n")
-    shifted = lambda by: F.slice(F.concat(F.array(*[F.lit("")] * by), lines), F.lit(1), F.size(lines))
-    before = F.zip_with(shifted(1), shifted(2), lambda p, q: F.struct(p.alias("p"), ((F.trim(q) == "") | q.rlike(_ENDS)).alias("first")))
+    none = F.struct(F.lit("").alias("t"), F.lit(False).alias("ends"), F.lit(False).alias("item"), F.lit(True).alias("blank"))
+    shifted = lambda by: F.slice(F.concat(F.array(*[none] * by), lines), F.lit(1), F.size(lines))
+    before = F.zip_with(shifted(1), shifted(2), lambda p, q: F.struct(p.alias("p"), (q["blank"] | q["ends"]).alias("first")))
 
     def marked(b: Column, x: Column) -> Column:
-        p = b["p"]
-        word = F.regexp_extract(x, r"^\s*(\S+)", 1)
-        headline = b["first"] & ~p.rlike(_SENTENCE_END) & ~p.rlike(r"[,;:]\s*$") & x.rlike(r"^\s*[\"“«„‘(]*\p{Lu}") & (F.length(p) + 1 + F.length(word) <= F.length(x))
-        runs_on = (F.trim(p) != "") & (F.trim(x) != "") & ~p.rlike(_ENDS) & ~p.rlike(_ITEM) & ~x.rlike(_ITEM) & ~headline
-        return F.concat(F.when(runs_on, F.lit(" ")).otherwise(F.lit("\n")), x)
+        p, t, u = b["p"], b["p"]["t"], x["t"]
+        word = F.regexp_extract(u, r"^\s*(\S+)", 1)
+        headline = b["first"] & (F.length(t) < F.length(u)) & u.rlike(r"^\s*[\"“«„‘(]*\p{Lu}") & ~t.rlike(_SENTENCE_END) & ~t.rlike(r"[,;:]\s*$") & (F.length(t) + 1 + F.length(word) <= F.length(u))
+        runs_on = ~p["blank"] & ~x["blank"] & ~p["ends"] & ~p["item"] & ~x["item"] & ~headline
+        return F.concat(F.when(runs_on, F.lit(" ")).otherwise(F.lit("\n")), u)
 
     return F.split(F.array_join(F.zip_with(before, lines, marked), ""), "\n")
 
@@ -80,10 +89,11 @@ def prose(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     within it, so that an unfinished tail takes no complete sentence with it.
     """
     words = r"\p{L}+[^\S\t]+\p{L}+[^\S\t]+\p{L}+"
-    done = F.transform(_paragraphs(F.col("text")), lambda x: F.when(x.rlike(_ENDS), x).when(~x.rlike(_ITEM), F.regexp_extract(x, _LAST_END, 1)).otherwise(""))
+    done = F.transform(_paragraphs(F.col("lines")), lambda x: F.when(_ends(x), x).when(~x.rlike(_ITEM), F.regexp_extract(x, _LAST_END, 1)).otherwise(""))
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lines = F.filter(done, lambda x: x.rlike(words))
-    rows = once(rows, "body", F.array_join(lines, "\n")).drop("text").filter("body <> ''")
+    rows = once(rows, "lines", _lines(F.col("text"))).drop("text")
+    rows = once(rows, "body", F.array_join(lines, "\n")).drop("lines").filter("body <> ''")
     rows = once(rows, "tokens", F.regexp_extract_all(F.lower("body"), F.lit(r"([\p{L}]+)"), F.lit(1))).filter("size(tokens) > 0")
     n = F.size(F.regexp_extract_all("body", F.lit(f"({_SENTENCE_END})"), F.lit(1)))
     return rows.select("doc_id", "tokens", (F.size("tokens") / F.greatest(n, F.lit(1))).alias("sentence_length"))
@@ -223,56 +233,71 @@ _SIDE = [round((HIGH - LOW) * s) + 2 for s in SCALES]
 HUBS = sum(n * n for n in _SIDE)
 
 
-def _hubs(x: Column, y: Column) -> Column:
-    """The hubs beside a place as an array of (hub, weight): the four corners around it at every resolution."""
-    out, first = [], 0
+def _hubs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hubs beside places and their weights, a row each: the four corners around a place at every resolution."""
+    hubs, weights, first = [], [], 0
     for s, n in zip(SCALES, _SIDE):
         u, v = (x - LOW) * s, (y - LOW) * s
-        a, b = F.floor(u), F.floor(v)
+        a, b = np.floor(u), np.floor(v)
         for i in (0, 1):
             for j in (0, 1):
-                w = (u - a if i else a + 1 - u) * (v - b if j else b + 1 - v) * s
-                out.append(F.struct((F.lit(first) + (a + i) * n + b + j).cast("int").alias("hub"), w.alias("w")))
+                hubs.append((first + (a + i) * n + b + j).astype(np.int64))
+                weights.append((u - a if i else a + 1 - u) * (v - b if j else b + 1 - v) * s)
         first += n * n
-    return F.array(*out)
+    return np.array(hubs).T, np.array(weights).T
 
 
-def _value(hubs: Column, values: Column) -> Column:
-    """The weighted mean of the hubs that have a value."""
-    value = lambda h: F.element_at(values, h["hub"] + 1)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    add = lambda a, h: F.struct((a["s"] + F.coalesce(value(h) * h["w"], F.lit(0.0))).alias("s"), (a["w"] + F.when(value(h).isNull(), 0.0).otherwise(h["w"])).alias("w"))
-    return F.aggregate(hubs, start, add, lambda a: F.try_divide(a["s"], a["w"]))
+def _value(hubs: np.ndarray, weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The weighted mean of the hubs that have a value, nan where none has."""
+    f = values[hubs]
+    w = np.where(np.isnan(f), 0, weights)
+    total = w.sum(axis=1)
+    return np.divide((w * np.nan_to_num(f)).sum(axis=1), total, out=np.full(len(total), np.nan), where=total > 0)
 
 
 def harmonic_levels(placed: DataFrame) -> tuple[DataFrame, int]:
-    """``placed`` (doc_id, grade, x, y) with ``level`` once the iterations have settled, and their number."""
-    spark = placed.sparkSession
-    linked = materialize(placed.select("doc_id", F.col("grade").cast("double").alias("grade"), _hubs(F.col("x"), F.col("y")).alias("hubs")), "linked")
-    values, rounds = None, 0
-    every = spark.range(HUBS).select(F.col("id").cast("int").alias("hub"))
+    """(doc_id, level) of ``placed`` (doc_id, grade, x, y) once the iterations have settled, and their number.
+
+    A round adds up all documents next to the data, one row of HUBS sums a task; the HUBS means go back with the next round.
+    """
+    values, rounds = np.full(HUBS, np.nan), 0
+    kind = placed.schema["doc_id"].dataType.simpleString()
+
+    def sums(values: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, weight = np.zeros(HUBS), np.zeros(HUBS)
+            for pdf in batches:
+                hubs, w = _hubs(pdf.x.to_numpy(), pdf.y.to_numpy())
+                graded = pdf.grade.notna().to_numpy()
+                f = np.where(graded, pdf.grade.to_numpy(dtype=float), _value(hubs, w, values))
+                w = w * (np.where(graded, 1.0, TRUST) * ~np.isnan(f))[:, None]
+                total += np.bincount(hubs.ravel(), (w * np.nan_to_num(f)[:, None]).ravel(), HUBS)
+                weight += np.bincount(hubs.ravel(), w.ravel(), HUBS)
+            used = np.flatnonzero(weight)
+            yield pd.DataFrame({"hub": used, "total": total[used], "weight": weight[used]})
+
+        return run
+
+    def level(values: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"doc_id": pdf.doc_id, "level": _value(*_hubs(pdf.x.to_numpy(), pdf.y.to_numpy()), values)})
+
+        return run
+
     while True:
-        if values is None:
-            known = linked.filter("grade is not null").select("hubs", F.col("grade").alias("f"), F.lit(1.0).alias("trust"))
-        else:
-            f = F.coalesce("grade", _value(F.col("hubs"), F.col("values")))
-            known = linked.crossJoin(F.broadcast(values)).select("hubs", f.alias("f"), F.when(F.col("grade").isNull(), TRUST).otherwise(1.0).alias("trust")).filter("f is not null")  # one row of HUBS numbers
-        sums = known.select("f", "trust", F.inline("hubs")).groupBy("hub").agg(F.try_divide(F.sum(F.col("f") * F.col("w") * F.col("trust")), F.sum(F.col("w") * F.col("trust"))).alias("f"))
-        packed = every.join(sums, "hub", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("hub", "f"))), lambda h: h["f"]).alias("values"))
-        new, rounds = materialize(packed, "hubs"), rounds + 1
-        if values is not None:
-            # a hub that got its first value counts as a change
-            moved = F.array_max(F.transform(F.arrays_zip(F.col("values").alias("b"), F.col("before").alias("a")), lambda z: F.when(z["a"].isNull() & z["b"].isNotNull(), float("inf")).otherwise(F.abs(z["b"] - z["a"]))))
-            delta = new.crossJoin(values.withColumnRenamed("values", "before")).select(moved).first()[0] or 0.0
-            superseded(values)
-        else:
-            delta = math.inf
+        got = placed.select("x", "y", F.col("grade").cast("double").alias("grade")).mapInPandas(sums(values), "hub long, total double, weight double")
+        got = got.groupBy("hub").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).toPandas()  # HUBS rows at most
+        new, rounds = np.full(HUBS, np.nan), rounds + 1
+        new[got.hub.to_numpy()] = (got.total / got.weight).to_numpy()
+        # a hub that got its first value counts as a change
+        settled = np.array_equal(np.isnan(new), np.isnan(values)) and np.nanmax(np.abs(new - values), initial=0.0) <= TOLERANCE
         values = new
-        if delta <= TOLERANCE:
+        if settled:
             break
         if rounds == ROUNDS:
             raise RuntimeError(f"levels did not settle within {ROUNDS} rounds")
-    return linked.crossJoin(F.broadcast(values)).withColumn("level", _value(F.col("hubs"), F.col("values"))).drop("hubs", "values"), rounds
+    return placed.mapInPandas(level(values), f"doc_id {kind}, level double"), rounds
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
