@@ -1,9 +1,10 @@
 """The most similar vectors of every vector: a hierarchical k-means tree read best bin first.
 
 The upper tree is fitted on a bounded sample (``SAMPLE`` vectors, chosen by hash) by splitting each node into
-``BRANCH`` clusters, down to leaves of about ``leaf_rows`` of all rows or to ``BRANCHES`` leaves. Where these are still
-larger, every one gets a tree of its own, fitted on the executors on a fixed share of its rows, so the
-number of leaves grows with the data, and the driver never holds more than the upper tree. Every row is
+``BRANCH`` clusters, down to leaves of about ``leaf_rows`` of all rows. Where that takes more than ``BRANCHES`` leaves, the upper
+tree stops at branches of about ``BELOW`` leaves (``BRANCHES`` of them at most), and each gets a tree of its own, fitted
+on the executors on a fixed share of its rows, so the number of leaves grows with the data, and the driver never holds
+more than the upper tree. Every row is
 indexed, that is sent to its leaf.
 
 A query keeps a priority queue of unopened nodes ordered by similarity to their centre, opens the best first and
@@ -39,6 +40,8 @@ from ..session import materialize
 SAMPLE, CALIBRATE, BRANCH, BRANCHES = 20_000, 256, 8, 1_024
 #: Rows of a bucket of leaves, and from how many on it is cut into blocks; rows a tree below is fitted on, one in so many.
 BUCKET, BLOCK, ONE_IN = 4_096, 16_384, 16
+#: Leaves of a tree below, as long as the upper tree isn't full.
+BELOW = 64
 #: Number of a leaf: its place in the upper tree times this, plus its place in the tree below.
 _BELOW = 1 << 24
 
@@ -211,8 +214,10 @@ class KMeansTree:
         self.points, self.raw, self.k, self.spark = points, raw, k, points.sparkSession
         n = points.count()
         some = points.filter(_share(11) <= min(1.0, 1.2 * SAMPLE / max(n, 1))).orderBy(_share(11)).limit(SAMPLE).select(raw).toPandas()
-        self.deep = -(-n // leaf_rows) > BRANCHES
-        self.tree = Tree(_unit(some[raw], raw), min(-(-n // leaf_rows), BRANCHES))
+        n_leaves = -(-n // leaf_rows)
+        self.deep = n_leaves > BRANCHES
+        # a query travels once to a branch: few and large ones, until the upper tree is full
+        self.tree = Tree(_unit(some[raw], raw), min(-(-n_leaves // BELOW), BRANCHES) if self.deep else n_leaves)
         self.leaf_rows = leaf_rows
         self._index()
         self._calibrate(n, recall)

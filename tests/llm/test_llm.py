@@ -295,7 +295,7 @@ def test_deep_trees_crowded_buckets_and_a_bounded_driver(spark, monkeypatch):
 
     from storyflow.llm import knn
 
-    for name, value in (("SAMPLE", 120), ("CALIBRATE", 16), ("BRANCHES", 4), ("BUCKET", 32), ("BLOCK", 40), ("ONE_IN", 2)):
+    for name, value in (("SAMPLE", 120), ("CALIBRATE", 16), ("BRANCHES", 4), ("BUCKET", 32), ("BLOCK", 40), ("ONE_IN", 2), ("BELOW", 2)):
         monkeypatch.setattr(knn, name, value)
     taken = []
     for how in ("toPandas", "collect"):
