@@ -109,7 +109,17 @@ def planned_merges(pairs: DataFrame, stories: DataFrame, block: int = MERGE_CAND
     return plan
 
 
-@C.add()
+_MERGE_SQL = f"""WITH RECURSIVE s AS (SELECT cluster_id, category_slug, COALESCE(article_count, 0) AS n, latest_published_at AS at, list_transform(centroid_embedding_vector, lambda x: x::DOUBLE / sqrt(list_inner_product(centroid_embedding_vector::DOUBLE[], centroid_embedding_vector::DOUBLE[]))) AS u
+ FROM story_clusters WHERE len(centroid_embedding_vector) = 64 AND len(list_filter(centroid_embedding_vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(centroid_embedding_vector, lambda x: x <> 0)) > 0),
+p AS (SELECT a.cluster_id AS a, b.cluster_id AS b, ROUND(list_inner_product(a.u, b.u), 6) AS similarity, a.n > b.n OR (a.n = b.n AND (COALESCE(a.at > b.at, a.at IS NOT NULL) OR a.at IS NOT DISTINCT FROM b.at)) AS first
+ FROM s a JOIN s b ON a.category_slug = b.category_slug AND a.cluster_id < b.cluster_id WHERE ROUND(list_inner_product(a.u, b.u), 6) >= {MERGE_SIMILARITY}),
+r AS MATERIALIZED (SELECT CASE WHEN first THEN a ELSE b END AS t, CASE WHEN first THEN b ELSE a END AS s, similarity, ROW_NUMBER() OVER (ORDER BY similarity DESC, a, b) AS k FROM p),
+g AS (SELECT 0 AS step, []::BIGINT[] AS sources, []::BIGINT[] AS targets, 0::BIGINT AS k UNION ALL
+ SELECT step + 1, list_append(sources, r.s), list_append(targets, r.t), r.k FROM g JOIN r ON r.k = (SELECT MIN(x.k) FROM r x WHERE x.k > g.k AND NOT list_contains(g.sources, x.s) AND NOT list_contains(g.targets, x.s) AND NOT list_contains(g.sources, x.t)) WHERE step < {MERGES})
+SELECT r.t AS target_id, r.s AS source_id, similarity FROM g JOIN r USING (k) WHERE step > 0"""
+
+
+@C.add(_MERGE_SQL)
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
     """One merge pass over all stories: similar ones of one category, best first, a source used once and never a target.
 
